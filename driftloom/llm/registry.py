@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_files", "packing")
+MODULES = ("simhash", "packing", "token_files")
 
 
 def queries() -> dict:
