@@ -2,7 +2,7 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a text's counted features. Nobody knows the rules' accuracies;
 expectation-maximisation estimates them from how the rules agree over all texts: a text is good with a prior
-probability, a rule that votes is right with its own accuracy, and rules err apart from each other. The posterior
+probability, each rule has its own accuracy on good and on bad texts, and rules err apart from each other. The posterior
 probability that a text is good replaces the usual demand that every rule passes.
 
 The only thing that is aggregated is the number of texts per pattern of votes, at most 3 ** rules rows however many
@@ -16,7 +16,7 @@ rows get equal verdicts and all stay; null ids are carried; an empty table gives
 
 from __future__ import annotations
 
-from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,9 @@ from .common import prepare, table
 #: A text with fewer words, or a larger share (in per cent) of words in repeated windows, fails whatever the rules say.
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Words of a window that counts as repeated, and iterations and starting values of the estimation.
-SPAN, ROUNDS, PRIOR, ACCURACY = 3, 25, 0.8, 0.8
+SPAN, ROUNDS, PRIOR = 3, 40, 0.8
+#: Starting rates of each vote on good and on bad texts. A bad text need not look bad to every rule.
+START = {1: (0.9, 0.7), -1: (0.01, 0.2), 0: (0.09, 0.1)}
 #: More repeated windows than this in a text are looked up by sorting rather than by scanning.
 FEW = 48
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -39,6 +41,7 @@ RULES: dict[str, tuple[float, float]] = {
     "repeat_share": (0.2, 0.5),
     "upper_share": (0.15, 0.4),
     "digit_share": (0.15, 0.4),
+    "mark_share": (0.08, 0.15),
     "mean_word_excess": (1.5, 4.0),
     "end_mark_share": (0.5, 0.1),
     "n_words": (80, 50),
@@ -78,14 +81,14 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     marks = F.size(F.filter("_l", lambda x: x.rlike(r"[.!?…。！？:;\"'»”)\]][\x20\x09-\x0D]*$")))
     known = counted.select(
         *docs.columns, "_n", "_chars", "_lines",
-        F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).alias("_sym"), F.regexp_count(whole, F.lit(r"\p{Lu}")).alias("_up"), F.regexp_count(whole, F.lit(r"[0-9]")).alias("_dig"),
+        F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).alias("_sym"), F.regexp_count(whole, F.lit(r"\p{Lu}")).alias("_up"), F.regexp_count(whole, F.lit(r"[0-9]")).alias("_dig"), F.regexp_count(whole, F.lit(r"[^\p{L}\p{M}\p{N}\s]")).alias("_other"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).alias("_dup"), _repeat_words(F.col("_k"), F.col("_r"), SPAN).alias("_rep"), marks.alias("_marks"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     values = {
         "n_words": F.col("_n").cast("long"), "word_chars": F.col("_chars").cast("long"), "n_symbols": F.col("_sym").cast("long"), "n_dup_lines": F.col("_dup").cast("long"), "n_repeat_words": F.col("_rep").cast("long"),
         "symbols_per_word": share("_sym", "_n"), "dup_line_share": share("_dup", "_lines"), "repeat_share": share("_rep", "_n"), "upper_share": share("_up", "_chars"),
-        "digit_share": share("_dig", "_chars"), "mean_word_excess": F.abs(share("_chars", "_n") - 5.0), "end_mark_share": share("_marks", "_lines"),
+        "digit_share": share("_dig", "_chars"), "mark_share": share("_other", "_chars"), "mean_word_excess": F.abs(share("_chars", "_n") - 5.0), "end_mark_share": share("_marks", "_lines"),
     }
     return known.select(*docs.columns, F.struct(*[v.alias(k) for k, v in values.items()]).alias("_f"))
 
@@ -100,31 +103,36 @@ def votes(feature: str = "_f") -> list[Column]:
     return out
 
 
-def estimate(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(prior, accuracies) by expectation-maximisation over ``patterns``: (v0, v1, ..., n)."""
-    prior, right = PRIOR, [ACCURACY] * rules
+def estimate(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+    """(prior, rates) by expectation-maximisation over ``patterns``: (v0, v1, ..., n).
+
+    rates[i][vote] is how often rule i casts that vote on good and on bad texts: its accuracy on either class, and how
+    often it abstains there.
+    """
+    prior, rates = PRIOR, [dict(START) for _ in range(rules)]
     kept = patterns.sparkSession.createDataFrame(patterns.collect(), patterns.schema).coalesce(1)  # at most 3 ** rules rows
     for _ in range(rounds):
-        p = posterior([F.col(f"v{i}") for i in range(rules)], prior, right)
-        hit = [F.sum(F.col("n") * F.when(F.col(f"v{i}") == 1, p).when(F.col(f"v{i}") == -1, 1 - p).otherwise(0.0)) for i in range(rules)]
-        cast = [F.sum(F.when(F.col(f"v{i}") != 0, F.col("n")).otherwise(0)) for i in range(rules)]
-        row = kept.agg(F.sum(F.col("n") * p), F.sum("n"), *hit, *cast).first()
+        p = posterior([F.col(f"v{i}") for i in range(rules)], prior, rates)
+        sums = [F.sum(F.when(F.col(f"v{i}") == v, F.col("n") * x).otherwise(0.0)) for i in range(rules) for v in START for x in (p, 1 - p)]
+        row = kept.agg(F.sum(F.col("n") * p), F.sum("n"), *sums).first()
         if not row[1]:
             break
-        before = [prior, *right]
-        # One text of each kind is added, so that nothing is ever certain.
-        prior = (row[0] + PRIOR) / (row[1] + 1)
-        right = [min(0.999, max(0.501, (h + ACCURACY) / (c + 1))) for h, c in zip(row[2 : 2 + rules], row[2 + rules :], strict=True)]
-        if max(abs(a - b) for a, b in zip(before, [prior, *right], strict=True)) < 1e-6:
+        before, good = prior, row[0]
+        prior = (good + PRIOR) / (row[1] + 1)
+        cast = iter(row[2:])
+        # The starting rates count as one text of each class, so that nothing is ever certain.
+        rates = [{v: ((next(cast) + START[v][0]) / (good + 1), (next(cast) + START[v][1]) / (row[1] - good + 1)) for v in START} for _ in range(rules)]
+        if abs(before - prior) < 1e-7:
             break
-    return prior, right
+    return prior, rates
 
 
-def posterior(cast: list[Column], prior: float, right: list[float]) -> Column:
+def posterior(cast: list[Column], prior: float, rates: list[dict[int, tuple[float, float]]]) -> Column:
     """Probability that a text with these votes is good."""
-    from math import log
-
-    logit = reduce(lambda a, b: a + b, [v * F.lit(log(r / (1 - r))) for v, r in zip(cast, right, strict=True)], F.lit(log(prior / (1 - prior))))
+    logit = F.lit(log(prior / (1 - prior)))
+    for vote, rate in zip(cast, rates, strict=True):
+        weight = {v: F.lit(log(g / b)) for v, (g, b) in rate.items()}
+        logit = logit + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(weight[0])
     return 1 / (1 + F.exp(-logit))
 
 
@@ -135,9 +143,9 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
     rows = features(docs.select(*own), text)
     cast = [v.alias(f"v{i}") for i, v in enumerate(votes())]
     patterns = features(docs.select(text), text).select(*cast).groupBy(*[f"v{i}" for i in range(len(cast))]).agg(F.count("*").alias("n"))
-    prior, right = estimate(patterns, len(RULES))
+    prior, rates = estimate(patterns, len(RULES))
     failed = (F.col("_f.n_words") < MIN_WORDS) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT * F.col("_f.n_words"))
-    judged = rows.select(*own, *[F.col(f"_f.{c}").alias(c) for c in _BASE], failed.alias("base_failed"), posterior(votes(), prior, right).alias("quality"))
+    judged = rows.select(*own, *[F.col(f"_f.{c}").alias(c) for c in _BASE], failed.alias("base_failed"), posterior(votes(), prior, rates).alias("quality"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
