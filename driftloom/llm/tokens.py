@@ -20,37 +20,68 @@ import pyarrow.compute as pc
 #: White space (and some more, which is harmless): a U+0020 beside one of these isn't a place to cut.
 _NEAR = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _UNCUT = rf"^ | $|{_NEAR} | {_NEAR}"
-#: Chunks that a worker keeps, over all batches; the first ones met are mostly the frequent ones.
-CACHE = 1 << 18
+#: Distinct chunks that a worker keeps, over all batches; the first ones met are mostly the frequent ones.
+CACHE = 1 << 20
 #: Text bytes that are encoded at a time; a longer text goes alone.
 STEP = 8 << 20
+#: Chunks that are handed to the library as one text.
+JOINED = 256
+
+
+def _flat(encodings: list) -> tuple[np.ndarray, np.ndarray]:
+    ids = [e.ids for e in encodings]
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
 
 class Encoder:
-    """``encode(texts)`` gives all ids in one array and the offsets of each text in it."""
+    """``encode(texts)`` gives all ids in one array and the offsets of each text in it.
+
+    ``known`` holds distinct chunks (without their leading space); ``ids`` their token ids, one after another.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _chunks(self, chunks: list[str]) -> list:
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        fresh = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[c] = e.ids
-        room = CACHE - len(known)
-        out = [fresh[c] if c in fresh else known[c] for c in chunks]
+        #: Whether a token begins with a space: of a chunk's tokens, the first alone does.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t.startswith("\u0120")]] = True
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _spaced(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each chunk, with a leading space."""
+        words = chunks.to_pylist()
+        ids, _ = self._encode([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) != len(words):  # a special token or an odd vocabulary: one by one
+            return self._encode([" " + w for w in words])
+        return ids, np.diff(np.append(begin, len(ids)))
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each chunk where its own begin there and how many they are."""
+        found = pc.index_in(chunks, value_set=self.known)
+        new = chunks.filter(found.is_null())
+        ids, n = self._spaced(new)
+        base = len(self.ids)
+        ends, at = base + np.cumsum(n), found.is_null().to_numpy(zero_copy_only=False)
+        begin, count = np.empty((2, len(chunks)), np.int64)
+        slot = found.drop_null().to_numpy()
+        begins = np.concatenate([[0], self.ends])
+        begin[~at], count[~at] = begins[slot], begins[slot + 1] - begins[slot]
+        begin[at], count[at] = ends - n, n
+        flat = np.concatenate([self.ids, ids])
+        room = min(len(new), CACHE - len(self.known))
         if room > 0:
-            for c in new[:room]:
-                if len(c) <= 64:
-                    known[c] = tuple(fresh[c])
-        return out
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+            self.ends = np.concatenate([self.ends, ends[:room]])
+            self.ids = flat[: self.ends[-1]]
+        return flat, begin, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Nulls count as empty texts."""
@@ -65,22 +96,15 @@ class Encoder:
         words = parts.flatten()
         first = np.zeros(len(words), bool)
         first[at[:-1]] = True
-        code = np.empty(len(words), np.int64)
-        heads, tails = (words.filter(pa.array(x)).dictionary_encode() for x in (first, ~first))
-        code[first] = heads.indices.to_numpy()
-        code[~first] = tails.indices.to_numpy() + len(heads.dictionary)
-        ids = self._chunks(heads.dictionary.to_pylist()) + self._chunks([" " + w for w in tails.dictionary.to_pylist()])
-        return self._lay(ids, code, at)
-
-    @staticmethod
-    def _lay(ids: list, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
-        begin = np.cumsum(n) - n
-        each = n[code]
+        head_ids, head_n = self._encode(words.filter(pa.array(first)).to_pylist())
+        tails = words.filter(pa.array(~first)).dictionary_encode()
+        code = tails.indices.to_numpy()
+        ids, begin, count = self._chunks(tails.dictionary)
+        each, start = np.empty((2, len(words)), np.int64)
+        each[first], start[first] = head_n, len(ids) + np.cumsum(head_n) - head_n
+        each[~first], start[~first] = count[code], begin[code]
         end = np.cumsum(each)
-        take = np.repeat(begin[code] - (end - each), each) + np.arange(end[-1] if len(end) else 0)
-        return flat[take], np.concatenate([[0], end])[at]
+        return np.concatenate([ids, head_ids])[_runs(start, each, end)], np.concatenate([[0], end])[at]
 
     def _mixed(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cut texts and whole ones apart, then back in their order."""
@@ -89,13 +113,18 @@ class Encoder:
         n = np.empty(len(texts), np.int64)
         begin = np.empty(len(texts), np.int64)
         n[~whole], begin[~whole] = np.diff(bounds), bounds[:-1]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(uncut, add_special_tokens=False)]
-        n[whole] = list(map(len, ids))
+        ids, n[whole] = self._encode(uncut)
         begin[whole] = len(cut) + np.cumsum(n[whole]) - n[whole]
-        flat = np.concatenate([cut, np.fromiter(chain.from_iterable(ids), np.int32)])
         end = np.cumsum(n)
-        take = np.repeat(begin - (end - n), n) + np.arange(end[-1])
-        return flat[take], np.concatenate([[0], end])
+        return np.concatenate([cut, ids])[_runs(begin, n, end)], np.concatenate([[0], end])
+
+
+def _runs(start: np.ndarray, n: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for n each, one after another; end is the running sum of n."""
+    kind = np.int32 if len(end) and start.max() + n.max() < 1 << 31 and end[-1] < 1 << 31 else np.int64
+    take = np.repeat((start - (end - n)).astype(kind), n)
+    take += np.arange(len(take), dtype=kind)
+    return take
 
 
 @lru_cache(maxsize=4)
