@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "packing", "quality_rules", "pii", "decontamination", "hmm_lm", "token_files")
+MODULES = ("simhash", "packing", "quality_rules", "pii", "decontamination", "hmm_lm", "warc", "token_files")
 
 
 def queries() -> dict:
