@@ -67,7 +67,11 @@ def _repeat_words(keys: Column, repeated: Column, span: int) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``_f``: a struct of the counted features (longs and doubles)."""
+    """docs with ``_f``: a struct of the counted features (longs and doubles).
+
+    Its field ``row`` is there for the optimizer: a filter that uses it stays above the counting, instead of being moved
+    below with all of the counting written out in it, once for each use.
+    """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     first = docs.withColumn("_w", F.array_remove(F.split(whole, _SPACE), "")).withColumn("_l", lines)
@@ -83,12 +87,13 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         *docs.columns, "_n", "_chars", "_lines",
         F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).alias("_sym"), F.regexp_count(whole, F.lit(r"\p{Lu}")).alias("_up"), F.regexp_count(whole, F.lit(r"[0-9]")).alias("_dig"), F.regexp_count(whole, F.lit(r"[^\p{L}\p{M}\p{N}\s]")).alias("_other"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).alias("_dup"), _repeat_words(F.col("_k"), F.col("_r"), SPAN).alias("_rep"), marks.alias("_marks"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     values = {
         "n_words": F.col("_n").cast("long"), "word_chars": F.col("_chars").cast("long"), "n_symbols": F.col("_sym").cast("long"), "n_dup_lines": F.col("_dup").cast("long"), "n_repeat_words": F.col("_rep").cast("long"),
         "symbols_per_word": share("_sym", "_n"), "dup_line_share": share("_dup", "_lines"), "repeat_share": share("_rep", "_n"), "upper_share": share("_up", "_chars"),
-        "digit_share": share("_dig", "_chars"), "mark_share": share("_other", "_chars"), "mean_word_excess": F.abs(share("_chars", "_n") - 5.0), "end_mark_share": share("_marks", "_lines"),
+        "digit_share": share("_dig", "_chars"), "mark_share": share("_other", "_chars"), "mean_word_excess": F.abs(share("_chars", "_n") - 5.0), "end_mark_share": share("_marks", "_lines"), "row": F.col("_row"),
     }
     return known.select(*docs.columns, F.struct(*[v.alias(k) for k, v in values.items()]).alias("_f"))
 
@@ -139,14 +144,14 @@ def posterior(cast: list[Column], prior: float, rates: list[dict[int, tuple[floa
 def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with the base columns, base_failed, quality (the posterior) and kept."""
     prepare(docs.sparkSession)
-    own = [c for c in docs.columns if c not in {*_BASE, "base_failed", "quality", "kept", "_f"}]
+    own = [c for c in docs.columns if c not in {*_BASE, "base_failed", "quality", "kept", "_f", "_row"}]
     rows = features(docs.select(*own), text)
     cast = [v.alias(f"v{i}") for i, v in enumerate(votes())]
     patterns = features(docs.select(text), text).select(*cast).groupBy(*[f"v{i}" for i in range(len(cast))]).agg(F.count("*").alias("n"))
     prior, rates = estimate(patterns, len(RULES))
     failed = (F.col("_f.n_words") < MIN_WORDS) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT * F.col("_f.n_words"))
-    judged = rows.select(*own, *[F.col(f"_f.{c}").alias(c) for c in _BASE], failed.alias("base_failed"), posterior(votes(), prior, rates).alias("quality"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    judged = rows.select(*own, *[F.col(f"_f.{c}").alias(c) for c in _BASE], failed.alias("base_failed"), posterior(votes(), prior, rates).alias("quality"), F.col("_f.row").alias("_row"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold) & (F.col("_row") >= 0)).drop("_row")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
