@@ -8,7 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The repository folder that holds the package.
@@ -61,6 +61,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_sample(rows: DataFrame, keys: tuple[str, ...], n: int) -> DataFrame:
+    """About n rows (at most 3 n / 2), or all if there are no more: those whose hash of keys is smallest.
+
+    The hash bound comes from the number of rows, so tasks hand on the sample alone, whatever their number; the limit
+    only binds where many rows share all keys.
+    """
+    total = rows.count()
+    if total <= n:
+        return rows
+    bound = int(n * 1.1 / total * 2**63)
+    return rows.where(F.xxhash64(*keys).bitwiseAND((1 << 63) - 1) < bound).limit(3 * n // 2)
+
+
+#: Keys that may be broadcast (16 bytes each); more are met in a shuffled join.
+KEYS_SENT = 1_000_000
+
+
+def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """A hash of a document's id and text; rows that share it are repeats of one another."""
+    return F.xxhash64(F.col(id_column), F.col(text_column))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs less the rows whose ``row_key`` is in ``keys`` (column key, stored and without repeats)."""
+    name = next(n for n in ("_key", *(f"_key{i}" for i in range(1000))) if n not in docs.columns)
+    drop = keys.select(F.col("key").alias(name))
+    return docs.withColumn(name, row_key(id_column, text_column)).join(F.broadcast(drop) if drop.count() <= KEYS_SENT else drop, name, "left_anti").select(*docs.columns)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join on ``key`` (unique in ``right``) where a few keys may hold most rows of ``left``.
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import bounded_sample, cut, prepare, table
 from .tokens import steps
 
 TOP, STATES, ROUNDS = 1 << 17, 8, 2
@@ -79,8 +79,16 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int, top: int = TOP) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    best = counts.orderBy(F.desc("n"), "word").limit(top).toPandas()
+    """The top words are all that occur a least number of times, the smallest (of a fixed scale) that gives ``top`` at most."""
+    steps = counts.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()  # at most 8 * 63 rows
+    total, distinct = sum(r["n"] for r in steps), sum(r["words"] for r in steps)
+    least, room = None, top
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["least"]
+    best = counts.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas().sort_values(["n", "word"], ascending=[False, True])
     return Vocabulary(pa.array(best["word"], pa.large_string()), best["n"].to_numpy(np.int64), ends, total + ends, distinct + (ends > 0))
 
 
@@ -217,7 +225,7 @@ def _batches(ids: pa.ListArray, split: bool) -> Iterator[tuple[_Laid, np.ndarray
 def starting_model(encoded: DataFrame, plain: np.ndarray, states: int = STATES) -> Model:
     """Rounds over a sample: the training texts of the smallest hashes, whatever their number."""
     ids = F.slice("ids", 1, SAMPLE_TOKENS).alias("ids")
-    picked = encoded.where(~F.col("held_out")).select(F.xxhash64("doc_id", "row").alias("h"), "row", ids).orderBy("h", "row").limit(SAMPLE).select("ids").toArrow()
+    picked = bounded_sample(encoded.where(~F.col("held_out")), ("doc_id", "row"), SAMPLE).select("row", ids).toArrow().sort_by("row")
     lists = picked.column("ids").combine_chunks() if picked.num_rows else pa.array([], pa.list_(pa.int32()))
     random = np.random.default_rng(7)
     emitted = np.zeros((states, len(plain)))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import bounded_sample, cut, prepare, table
 from .hmm_lm import split_words
 from .tokens import steps
 
@@ -178,8 +178,8 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, bins: int = BINS, rounds
 
 
 def _sample(rows: DataFrame, n: int) -> np.ndarray:
-    """n rows of the smallest hashes of id and measures."""
-    got = rows.select(F.xxhash64("doc_id", "x").alias("h"), "x").orderBy("h").limit(n).select("x").toArrow().column("x").combine_chunks()
+    """About n rows of the smallest hashes of id and measures."""
+    got = bounded_sample(rows, ("doc_id", "x"), n).select("doc_id", "x").toArrow().sort_by("doc_id").column("x").combine_chunks()
     return got.flatten().to_numpy().reshape(len(got), -1).astype(float) if len(got) else np.zeros((0, len(MEASURES)))
 
 

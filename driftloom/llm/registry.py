@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "packing", "quality_rules", "pii", "decontamination", "hmm_lm", "pu_quality", "warc", "token_files")
+MODULES = ("simhash", "packing", "quality_rules", "licenses", "pii", "decontamination", "hmm_lm", "pu_quality", "warc", "token_files")
 
 
 def queries() -> dict:

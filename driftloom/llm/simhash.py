@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, prepare, table
+from .common import cut, join_hot, prepare, row_key, table, without
 from .components import components
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -60,14 +60,15 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, key, fp): key is ``row_key``, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
@@ -151,21 +152,33 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS, group: int = GROUP)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id in reach."""
+    """(fp, doc_id, key, component_id, root): component_id is the smallest doc_id in reach; root names the group."""
     prepare(docs.sparkSession)
     return groups(cut(fingerprints(docs, words)), max_bits)
 
 
 def groups(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``near_duplicates`` of a stored table (doc_id, fp)."""
+    """``near_duplicates`` of a stored table of fingerprints."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = cut(components(links(distinct.select("fp"), distinct.count(), max_bits)))
     lows = roots.join(distinct, roots["node"] == distinct["fp"]).select("root", "fp", "low")
-    named = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    alone = distinct.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"))
+    named = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id", "root")
+    alone = distinct.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.col("fp").alias("root"))
     return join_hot(marked, cut(named.unionByName(alone)), "fp")
 
 
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id (null is largest); of repeated rows, one."""
+    found = cut(near_duplicates(docs, max_bits))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    chosen = cut(found.groupBy("root").agg(first).select("first.key"))
+    kept = without(docs, cut(found.select("key").distinct().join(chosen, "key", "left_anti")))
+    twice = cut(found.groupBy("key").count().where("count > 1").join(chosen, "key", "left_semi").select("key"))
+    if twice.isEmpty():
+        return kept
+    return without(docs, cut(found.select("key").distinct().join(chosen.join(twice, "key", "left_anti"), "key", "left_anti"))).unionByName(kept.join(twice, row_key() == twice["key"], "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
