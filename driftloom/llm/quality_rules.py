@@ -112,24 +112,31 @@ def estimate(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> tuple[flo
     """(prior, rates) by expectation-maximisation over ``patterns``: (v0, v1, ..., n).
 
     rates[i][vote] is how often rule i casts that vote on good and on bad texts: its accuracy on either class, and how
-    often it abstains there.
+    often it abstains there. The patterns, 3 ** rules at most, become one row, and all rounds are one expression over it.
     """
-    prior, rates = PRIOR, [dict(START) for _ in range(rules)]
-    kept = patterns.sparkSession.createDataFrame(patterns.collect(), patterns.schema).coalesce(1)  # at most 3 ** rules rows
-    for _ in range(rounds):
-        p = posterior([F.col(f"v{i}") for i in range(rules)], prior, rates)
-        sums = [F.sum(F.when(F.col(f"v{i}") == v, F.col("n") * x).otherwise(0.0)) for i in range(rules) for v in START for x in (p, 1 - p)]
-        row = kept.agg(F.sum(F.col("n") * p), F.sum("n"), *sums).first()
-        if not row[1]:
-            break
-        before, good = prior, row[0]
-        prior = (good + PRIOR) / (row[1] + 1)
-        cast = iter(row[2:])
-        # The starting rates count as one text of each class, so that nothing is ever certain.
-        rates = [{v: ((next(cast) + START[v][0]) / (good + 1), (next(cast) + START[v][1]) / (row[1] - good + 1)) for v in START} for _ in range(rules)]
-        if abs(before - prior) < 1e-7:
-            break
-    return prior, rates
+    casts = list(START)
+    slot = [F.when(F.col(f"v{i}") == casts[0], 3 * i).when(F.col(f"v{i}") == casts[1], 3 * i + 1).otherwise(3 * i + 2) for i in range(rules)]
+    row = patterns.agg(F.collect_list(F.struct(F.array(*slot).alias("slots"), F.col("n").cast("double").alias("n"))).alias("all"))
+    start = [F.array(*[F.lit(START[v][c]) for _ in range(rules) for v in casts]) for c in (0, 1)]
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+
+    def once(model: Column, _: Column) -> Column:
+        def shared(p: Column) -> Column:
+            logit = F.aggregate(p["slots"], F.log(model["prior"] / (1 - model["prior"])), lambda a, k: a + F.log(F.get(model["good"], k) / F.get(model["bad"], k)))
+            good = p["n"] / (1 + F.exp(-logit))
+            return F.struct(p["slots"].alias("slots"), good.alias("good"), (p["n"] - good).alias("bad"))
+
+        def renewed(split: Column) -> Column:
+            # The starting rates count as one text of each class, so that nothing is ever certain.
+            rate = lambda name, first: F.transform(first, lambda r, k: (r + total(split, lambda w: F.when(F.array_contains(w["slots"], k), w[name]).otherwise(0.0))) / (1 + total(split, lambda w: w[name])))
+            good, bad = (total(split, lambda w, name=name: w[name]) for name in ("good", "bad"))
+            return F.struct(((good + PRIOR) / (good + bad + 1)).alias("prior"), rate("good", start[0]).alias("good"), rate("bad", start[1]).alias("bad"))
+
+        return F.transform(F.array(F.transform("all", shared)), renewed)[0]
+
+    first = F.struct(F.lit(PRIOR).alias("prior"), start[0].alias("good"), start[1].alias("bad"))
+    got = row.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, once).alias("m")).first()["m"]
+    return got["prior"], [{v: (got["good"][3 * i + k], got["bad"][3 * i + k]) for k, v in enumerate(casts)} for i in range(rules)]
 
 
 def posterior(cast: list[Column], prior: float, rates: list[dict[int, tuple[float, float]]]) -> Column:
