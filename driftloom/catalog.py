@@ -65,10 +65,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"orders": (orders, "o_orderkey")},
         derived={"net": {"expression": "t.l_extendedprice * (1 - t.l_discount)"}}, filters={"exclude": [{"if": "t.l_quantity < 5", "reason": "small"}]},
     )
-    return _out(plan).withColumn("net", F.round("net", 4))
+    return _out(plan)
 
 
-_FLAGSHIP = """select l_orderkey as order_key, l_linenumber as line, round(l_extendedprice * (1 - l_discount), 4) as net, o_orderpriority as priority,
+_FLAGSHIP = """select l_orderkey as order_key, l_linenumber as line, l_extendedprice * (1 - l_discount) as net, o_orderpriority as priority,
 case when l_returnflag = 'R' then 'returned' else 'kept' end as state from lineitem join orders on l_orderkey = o_orderkey where not l_quantity < 5"""
 
 
@@ -159,8 +159,7 @@ def lookup_error_report(spark, d):
 def expr_arith(spark, d):
     df = _table(spark, d, "orders", "o_orderkey").withColumn("o_custkey", F.col("o_custkey").cast("bigint"))
     rules = {"add": "t.o_totalprice + t.o_custkey", "sub": "t.o_custkey - t.o_orderkey", "mul": "t.o_custkey * 3", "div": "t.o_totalprice / (t.o_custkey + 1)", "neg": "-t.o_custkey + 2", "mixed": "(t.o_totalprice - 1) * 0.5"}
-    out = _out(_plan(spark, df, {"key": {"source": "t.o_orderkey"}} | {k: {"expression": e} for k, e in rules.items()}))
-    return out.select("key", "sub", "mul", "neg", *[F.round(c, 6).alias(c) for c in ("add", "div", "mixed")])
+    return _out(_plan(spark, df, {"key": {"source": "t.o_orderkey"}} | {k: {"expression": e} for k, e in rules.items()}))
 
 
 def expr_floor_mod_pow(spark, d):
@@ -185,7 +184,7 @@ def expr_missing_error_report(spark, d):
 
 
 def expr_missing_survivors(spark, d):
-    return _out(_expr_missing(spark, d)).withColumn("x", F.round("x", 6))
+    return _out(_expr_missing(spark, d))
 
 
 def derived_dag(spark, d):
@@ -293,8 +292,7 @@ _MERGE = {"key": {"source": "c.c_custkey"}, "note": {"first": ["c.note", "o.note
 
 
 def merge_left(spark, d):
-    out = jobs.merge(*_merge_sources(spark, d), "c", _MERGE).outputs["output"].drop(ROW)
-    return out.withColumn("sum", F.round("sum", 4))
+    return jobs.merge(*_merge_sources(spark, d), "c", _MERGE).outputs["output"].drop(ROW)
 
 
 def merge_inner(spark, d):
@@ -433,11 +431,11 @@ _ORACLES = {
     "lookup_missing_empty": "select o_orderkey as key, coalesce(c_name, '') as customer from orders left join (select * from customer where c_nationkey < 10) on o_custkey = c_custkey",
     "lookup_missing_null": "select o_orderkey as key, c_name as customer from orders left join (select * from customer where c_nationkey < 10) on o_custkey = c_custkey",
     "lookup_error_report": "select o_orderkey as row_number, 'mapping' as stage, 'out' as output_name, 'lookup missing' as field, 'lookup missing: reference=customer key=' || o_custkey as message from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 10)",
-    "expr_arith": "select o_orderkey as key, round(o_totalprice + o_custkey, 6) as add, o_custkey - o_orderkey as sub, o_custkey * 3 as mul, round(o_totalprice / (o_custkey + 1), 6) as div, -o_custkey + 2 as neg, round((o_totalprice - 1) * 0.5::double, 6) as mixed from orders",
+    "expr_arith": "select o_orderkey as key, o_totalprice + o_custkey as add, o_custkey - o_orderkey as sub, o_custkey * 3 as mul, o_totalprice / (o_custkey + 1) as div, -o_custkey + 2 as neg, (o_totalprice - 1) * 0.5::double as mixed from orders",
     "expr_floor_mod_pow": "select o_orderkey as key, floor(n / 7)::bigint as floor_div, (n - floor(n / 7) * 7)::bigint as modulo, floor(n / -7)::bigint as floor_neg, (n - floor(n / -7) * -7)::bigint as mod_neg, power((n - floor(n / 10) * 10), 3)::bigint as power, floor(n / 2.5::double) as halves from (select o_orderkey, (o_custkey - 700)::bigint as n from orders)",
     "expr_round_abs_min_max": "select o_orderkey as key, round_even(h, 0)::bigint as rounded, abs(h) as absolute, least(h, n::double, 50.0::double) as least, greatest(h, n::double) as most, n as whole from (select o_orderkey, o_custkey / 2.0::double - 100 as h, o_custkey::bigint as n from orders)",
     "expr_missing_error_report": "select o_orderkey as row_number, 'mapping' as stage, 'x' as field, 'expression' as rule from orders where o_custkey % 5 = 0 or o_orderkey % 4 = 0",
-    "expr_missing_survivors": "select o_orderkey as key, round(o_totalprice / (o_orderkey % 4) + o_custkey % 5, 6) as x from orders where o_custkey % 5 <> 0 and o_orderkey % 4 <> 0",
+    "expr_missing_survivors": "select o_orderkey as key, o_totalprice / (o_orderkey % 4) + o_custkey % 5 as x from orders where o_custkey % 5 <> 0 and o_orderkey % 4 <> 0",
     "derived_dag": "select o_orderkey as key, (o_custkey + 1 - 3) * 2 as c, 'k' || ((o_custkey + 1 - 3) * 2) as label from orders",
     "multiple_outputs": "select 'one' as output, o_orderkey as key, o_orderstatus as v from orders union all select 'two', o_orderkey, 'final' from orders where o_orderstatus = 'F'",
     "normalize_trim_commas_currency": "select p_partkey, p_name as name, trunc(p_retailprice * 1000)::bigint as price from part",
@@ -454,7 +452,7 @@ union all select c_custkey, 't.c_mktsegment', 'length' from c where length(c_mkt
     "validate_referential_integrity": "select o_orderkey as row_number, 't.o_custkey' as field, 'referential_integrity' as rule from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 10)",
     "checks_row_accounting": "select count(*) as input_rows, count(*) filter (o_totalprice >= 50000 and o_orderstatus in ('F', 'O')) as output_rows, count(*) filter (o_totalprice >= 50000 and o_orderstatus not in ('F', 'O')) as error_rows, count(*) filter (o_totalprice < 50000) as skipped_rows, true as passed from orders",
     "merge_left": """with o as (select o_custkey, count(*) as n, max(o_totalprice) as top, max(o_orderpriority) as note from orders where o_totalprice > 150000 group by 1)
-select c_custkey as key, coalesce(note, c_name) as note, c_name as last, round(c_acctbal + coalesce(top, 0), 4) as sum, least(c_acctbal, top) as low, greatest(c_acctbal, top) as high, (case when n is null then 0 else 2 end)::bigint as found from customer left join o on c_custkey = o_custkey""",
+select c_custkey as key, coalesce(note, c_name) as note, c_name as last, c_acctbal + coalesce(top, 0) as sum, least(c_acctbal, top) as low, greatest(c_acctbal, top) as high, (case when n is null then 0 else 2 end)::bigint as found from customer left join o on c_custkey = o_custkey""",
     "merge_inner": "select c_custkey as key, count(*) as n from customer join orders on c_custkey = o_custkey where o_totalprice > 150000 group by 1",
     "merge_inner_skipped": "select c_custkey as row_number, 'No merge match in o' as reason from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 150000)",
     "merge_key_errors": """with a as (select o_orderkey, nullif(o_custkey % 700, 3) as k from orders) select 'a' as input_name, o_orderkey as row_number, 'missing_key' as rule from a where k is null

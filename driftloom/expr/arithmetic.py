@@ -129,11 +129,19 @@ def compile_expression(text: str, scope: Scope, where: str) -> Compiled:
             if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
                 compiler.used.setdefault(f"{node.value.id}.{node.attr}", scope.find(f"{node.value.id}.{node.attr}"))
     row = F.col("__row_number").cast("string")
-    shown = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), python_repr(v), F.lit(f" ({v.type})")) for n, v in compiler.used.items()])
-    fault = lambda cause: error(where, "expression", F.concat(F.lit(f"{where}: expression evaluation failed at row "), row, F.lit(f": {text}; values: "), shown, F.lit(f"; cause: {cause}")))
-    found = [F.when(v.col.isNull(), error(where, "expression", F.concat(F.lit(f"{where}: expression field has missing value: {n} at row "), row))) for n, v in compiler.used.items()]
-    found += [F.when(F.coalesce(c, F.lit(False)), fault(cause)) for c, cause in compiler.faults]
-    if unlike:
-        found.append(fault(unlike))
-    bad = F.coalesce(*found) if len(found) > 1 else found[0] if found else None
+    # Numbers are shown as Spark prints them: this text is part of every row's code, though few rows need it.
+    seen = lambda v: F.coalesce(v.col.cast("string"), F.lit("None")) if v.type == "decimal" else python_repr(v)
+    shown = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), seen(v), F.lit(f" ({v.type})")) for n, v in compiler.used.items()])
+    # One message of each kind, so that the plan grows with the operands and faults but not with their product.
+    missing = [F.when(v.col.isNull(), n) for n, v in compiler.used.items()]
+    causes = [F.when(F.coalesce(c, F.lit(False)), cause) for c, cause in compiler.faults] + ([F.lit(unlike)] if unlike else [])
+    parts = []
+    if missing:
+        name = F.coalesce(*missing) if len(missing) > 1 else missing[0]
+        parts.append(F.when(name.isNotNull(), error(where, "expression", F.concat(F.lit(f"{where}: expression field has missing value: "), name, F.lit(" at row "), row))))
+    if causes:
+        cause = F.coalesce(*causes) if len(causes) > 1 else causes[0]
+        text = F.concat(F.lit(f"{where}: expression evaluation failed at row "), row, F.lit(f": {text}; values: "), shown, F.lit("; cause: "), cause)
+        parts.append(F.when(cause.isNotNull(), error(where, "expression", text)))
+    bad = F.coalesce(*parts) if len(parts) > 1 else parts[0] if parts else None
     return Compiled(value, bad)

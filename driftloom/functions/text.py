@@ -48,20 +48,12 @@ def is_blank(value: Typed) -> Column:
 def _float_text(col: Column) -> Column:
     """repr() of a double: plain digits from 1e-4 to below 1e16, else with an exponent of two digits at least."""
     raw = col.cast("string")
-    sign = F.when(F.startswith(raw, F.lit("-")), "-").otherwise("")
-    body = F.regexp_replace(raw, "^-", "")
-    mantissa, power = F.split_part(body, F.lit("E"), F.lit(1)), F.split_part(body, F.lit("E"), F.lit(2)).try_cast("int")
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
-    rest = F.substring(digits, power + 2, F.lit(400))
-    large = F.concat(whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    first, tail = F.substring(digits, 1, 1), F.substring(digits, 2, 400)
-    exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    scientific = F.concat(first, F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), F.lit("e"), exponent)
-    shown = F.when(power.isNull(), body).when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(scientific)
-    return F.when(F.isnan(col), "nan").when(F.abs(col) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, shown))
+    # 17 digits before the point and 21 behind hold every double of that range digit by digit.
+    digits = F.regexp_replace(raw.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E(-?)(\d)$", "E$10$2"), r"E(\d)", "e+$1")
+    odd = F.lower(F.replace(F.replace(raw, F.lit("Infinity"), F.lit("inf")), F.lit("E"), F.lit("e")))
+    return F.when(~raw.rlike("[EIN]"), raw).when(F.abs(col).between(1e-4, 9999999999999998.0), plain).when(raw.contains("E"), F.replace(power, F.lit("E"), F.lit("e"))).otherwise(odd)
 
 
 def python_text(value: Typed, iso: bool = False) -> Column:

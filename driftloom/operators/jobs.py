@@ -123,7 +123,8 @@ def _reduce(rule: dict, typed: dict[str, Typed]) -> Typed:
     nums = [to_number(v).cast("bigint" if whole else "double") for v in values]
     if kind == "sum":
         some = _any([n.isNotNull() for n in nums])
-        col = F.when(some, reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0).cast("bigint" if whole else "double")) for n in nums]))
+        # A row's sum is a decimal whatever its parts are, so whole sums print with a point.
+        return Typed(F.when(some, reduce(lambda a, b: a + b, [F.coalesce(n.cast("double"), F.lit(0.0)) for n in nums])), "decimal")
     else:
         col = nums[0] if len(nums) == 1 else (F.least if kind == "min" else F.greatest)(*nums)
     return Typed(col, "integer" if whole else "decimal")
