@@ -21,7 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import cut, prepare, table
 
 #: A text with fewer words, or a larger share (in per cent) of words in repeated windows, fails whatever the rules say.
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -148,13 +148,20 @@ def posterior(cast: list[Column], prior: float, rates: list[dict[int, tuple[floa
     return 1 / (1 + F.exp(-logit))
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with the base columns, base_failed, quality (the posterior) and kept."""
+def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """docs with the base columns, base_failed, quality (the posterior) and kept.
+
+    Without the text, rows are narrow: their features are counted once and stored. With it, they are counted again in
+    the pass that carries the texts, which is less than storing these.
+    """
     prepare(docs.sparkSession)
     own = [c for c in docs.columns if c not in {*_BASE, "base_failed", "quality", "kept", "_f", "_row"}]
     rows = features(docs.select(*own), text)
+    if not keep_text:
+        own.remove(text)
+        rows = cut(rows.drop(text))
     cast = [v.alias(f"v{i}") for i, v in enumerate(votes())]
-    patterns = features(docs.select(text), text).select(*cast).groupBy(*[f"v{i}" for i in range(len(cast))]).agg(F.count("*").alias("n"))
+    patterns = (features(docs.select(text), text) if keep_text else rows).select(*cast).groupBy(*[f"v{i}" for i in range(len(cast))]).agg(F.count("*").alias("n"))
     prior, rates = estimate(patterns, len(RULES))
     failed = (F.col("_f.n_words") < MIN_WORDS) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT * F.col("_f.n_words"))
     judged = rows.select(*own, *[F.col(f"_f.{c}").alias(c) for c in _BASE], failed.alias("base_failed"), posterior(votes(), prior, rates).alias("quality"), F.col("_f.row").alias("_row"))
@@ -162,7 +169,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}
