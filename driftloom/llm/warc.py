@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: i
                 for record in page_records(page.as_py(), url.as_py(), body.as_buffer().to_pybytes(), best.as_py(), segment, chunk):
                     out.append(record)
                     size += len(record)
-                if size > 8 << 20:
+                if size > HANDED:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
@@ -138,11 +138,16 @@ def _record(f: dict[str, str], block: bytes) -> tuple:
     return (f.get("warc-record-id"), f.get("warc-type"), _number(f.get("warc-page-id")), f.get("warc-target-uri"), _number(f.get("warc-refers-to-page-id")), digest, length, f.get("warc-segment-origin-id"), _number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length")), block)
 
 
+#: Bytes of blocks that are handed on at once, and rows that are decoded at once.
+HANDED, DECODED = 4 << 20, 128
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines (file, value), in order, to records. State between lines: header lines, or the block so far."""
     file, head, fields, block, left = None, [], None, [], 0
     for batch in batches:
         out: list[tuple] = []
+        size = 0
         names = batch.column("file").to_pylist()
         for name, value in zip(names, batch.column("value"), strict=True):
             if name != file:
@@ -172,7 +177,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if left <= 0 and fields is not None:
                 if fields.get("warc-type") in ("response", "revisit", "continuation"):
                     out.append(_record(fields, b"".join(block)))
-                fields = None
+                    size += len(out[-1][-1])
+                fields, block = None, []
+                if size > HANDED:
+                    yield _rows(out)
+                    out, size = [], 0
         yield _rows(out)
     if fields is not None:
         raise ValueError(f"{file} ends inside a record")
@@ -192,7 +201,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Put segments in order, check the total, decode the transfer framing and check the digest."""
-    for batch in batches:
+    for batch in (b.slice(i, DECODED) for b in batches for i in range(0, max(1, b.num_rows), DECODED)):
         out = []
         for row in batch.to_pylist():
             parts = sorted(row["parts"], key=lambda p: p["segment"] or 1)
