@@ -52,12 +52,12 @@ class _Compiler:
             return Typed(c, kind) if isinstance(node.op, ast.UAdd) else self.checked(F.try_subtract(F.lit(0).cast("bigint"), c), "integer") if kind == "integer" else Typed(-c, kind)
         if isinstance(node, ast.BinOp):
             power = node.right.value if isinstance(node.right, ast.Constant) else None
-            return self.binary(node.op, self.visit(node.left), self.visit(node.right), type(power) is int and power >= 0)
+            return self.binary(node.op, self.visit(node.left), self.visit(node.right), power if type(power) is int and power >= 0 else None)
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _CALLS and not node.keywords:
             return self.call(node.func.id, [self.visit(x) for x in node.args])
         raise self.fail("unsupported expression")
 
-    def binary(self, op: ast.operator, a: Typed, b: Typed, whole_power: bool) -> Typed:
+    def binary(self, op: ast.operator, a: Typed, b: Typed, power: int | None) -> Typed:
         if isinstance(op, ast.Add) and a.type == b.type == "string":
             return Typed(F.concat(a.col, b.col), "string")
         kind = self.numbers(a, b)
@@ -87,8 +87,13 @@ class _Compiler:
             if kind == "decimal":
                 self.faults.append((F.isnan(raised), "ValueError: the power is not a real number"))
                 return Typed(raised, kind)
-            if whole_power:  # whole bases stay whole
-                return self.checked(F.when(F.abs(raised) < float(1 << 62), raised.cast("bigint")), kind)
+            if power is not None and power <= 16:  # whole bases stay whole, digit by digit
+                product = F.lit(1).cast("bigint")
+                for _ in range(power):
+                    product = F.try_multiply(product, x)
+                return self.checked(product, kind)
+            if power is not None:  # a double knows whole numbers below 2 ** 53
+                return self.checked(F.when(F.abs(raised) < float(1 << 53), raised.cast("bigint")), kind)
             return Typed(raised, "decimal")
         raise self.fail("unsupported operator")
 
@@ -97,9 +102,10 @@ class _Compiler:
             raise self.fail("wrong number of arguments")
         kind = self.numbers(*args)
         if name in ("min", "max"):
-            spark = "bigint" if kind == "integer" else "double"
-            cols = [x.col.cast(spark) for x in args]
-            return Typed(cols[0] if len(cols) == 1 else (F.least if name == "min" else F.greatest)(*cols), kind)
+            if len(args) == 1:
+                raise _Unlike(f"TypeError: {name} of a single number")
+            cols = [x.col.cast("bigint" if kind == "integer" else "double") for x in args]
+            return Typed((F.least if name == "min" else F.greatest)(*cols), kind)
         x = args[0]
         if name == "abs":
             return Typed(F.abs(x.col.cast("bigint") if x.type == "boolean" else x.col), kind)

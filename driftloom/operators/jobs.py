@@ -102,7 +102,7 @@ def merge(sources: dict[str, Loaded], keys: dict[str, list[str]], base: str, col
         joined = joined.join(prefixed(name), on, "left").drop(*[f"__{name}_{i}" for i in range(len(keys[base]))])
         if join_type == "inner":
             alone = joined.where(F.col(f"__met_{name}").isNull())
-            skipped.append(alone.select(F.col(ROW).cast("bigint").alias("row_number"), F.lit(f"No merge match in {name}").alias("reason"), F.to_json(F.struct(*[F.col(f"`{base}.{c}`").alias(c) for c in sources[base].types]), {"ignoreNullFields": "false"}).alias("row_json")))
+            skipped.append(alone.select(F.col(ROW).cast("bigint").alias("row_number"), F.lit(f"No merge match in {name}").alias("reason"), F.to_json(F.named_struct(*[x for c in sources[base].types for x in (F.lit(c), F.col(f"`{base}.{c}`"))]), {"ignoreNullFields": "false"}).alias("row_json")))
             joined = joined.where(F.col(f"__met_{name}").isNotNull())
     made = {c: _reduce(rule, typed) for c, rule in columns.items()}
     out = joined.select(*[v.col.alias(c) for c, v in made.items()], ROW)

@@ -54,8 +54,8 @@ class Result:
 
 def _json(values: dict[str, Typed], row: bool = True) -> Column:
     """Typed values as JSON; dates are shown as Python shows them, missing values stay as null."""
-    parts = [(python_text(v) if v.type == "date" else v.col).alias(n) for n, v in values.items()]
-    return F.to_json(F.struct(*([F.col(ROW)] if row else []), *parts), {"ignoreNullFields": "false"})
+    named = [x for n, v in values.items() for x in (F.lit(n), python_text(v) if v.type == "date" else v.col)]
+    return F.to_json(F.named_struct(*([F.lit(ROW), F.col(ROW)] if row else []), *named), {"ignoreNullFields": "false"})
 
 
 def _target(rule, config: Migration) -> tuple[str, str]:
