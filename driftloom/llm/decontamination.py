@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import KEYS_SENT, cut, prepare, table
 
 #: Words of a window, of a hashed k-gram, and k-grams in a row of which the smallest is kept.
 WINDOW, K = 10, 5
@@ -78,7 +78,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "
     own = [c for c in docs.columns if c != text]
     base = docs.select(F.struct(*own).alias("own") if own else F.struct(F.lit(None).alias("none")).alias("own"), words(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("row"))
     classes = _classes(bench, item_id, item_text)
-    size, lengths = classes.agg(F.sum(F.octet_length(F.array_join("item", " "))), F.collect_set(F.when(F.size("item") < WINDOW, F.least(F.size("item"), F.lit(K))))).first()
+    size, members, lengths = classes.agg(F.sum(F.octet_length(F.array_join("item", " "))), F.sum(F.size("ids")), F.collect_set(F.when(F.size("item") < WINDOW, F.least(F.size("item"), F.lit(K))))).first()
     short = sorted(lengths)
     marks = classes.sparkSession.range(1).select(F.lit(_MARK).cast("long").alias("key"), F.lit(None).cast("long").alias("class"), F.lit(0).alias("q"))
     long_items = _kept(classes.where(F.size("item") >= WINDOW).select("class", F.col("item").alias("words")), []).select("class", F.explode("kept").alias("x"))
@@ -107,7 +107,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "
         rows = rows.unionByName(x)
     verified = rows.where(F.col("class").isNull() | (F.size("starts") > 0)).repartition("row")
     once = verified.groupBy("row", "class", "length").agg(F.first("own").alias("own"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    ids = once.join(F.broadcast(classes.select("class", "ids")) if blocks == 1 else classes.select("class", "ids"), "class", "left")
+    ids = once.join(F.broadcast(classes.select("class", "ids")) if blocks == 1 and (members or 0) <= KEYS_SENT else classes.select("class", "ids"), "class", "left")
     spans = F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("length").alias("length")))
     out = ids.withColumn("spans", F.when(F.col("class").isNull(), F.array().cast("array<struct<start:int,length:int>>")).otherwise(spans)).groupBy("row").agg(
         F.first("own").alias("own"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("item_ids")

@@ -242,4 +242,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_warc": op9_warc}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_warc": """
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as sha, max(page_id) over (partition by coalesce(html, '')) as best from pages),
+b as (select *, (unhex(sha)::bit)::varchar as bits from p)
+select page_id, octet_length(encode(body))::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i::int + 1, 1)::int + 8 * substr(bits, 5 * i::int + 2, 1)::int
+    + 4 * substr(bits, 5 * i::int + 3, 1)::int + 2 * substr(bits, 5 * i::int + 4, 1)::int + substr(bits, 5 * i::int + 5, 1)::int, 1)), '') as payload_digest,
+  case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end::bigint as refers_to
+from b"""
+}
