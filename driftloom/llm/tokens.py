@@ -3,12 +3,13 @@
 Byte-level BPE with the usual word pattern never joins a non-space character with a following single space: a token
 may start with one space but none goes on over it. So a text whose every U+0020 stands between two characters that
 are not white space can be cut before each space, and the chunks' ids in a row are the text's ids. Texts with other
-spacing (runs of spaces, spaces beside line ends, at the start or at the end) are encoded whole.
+spacing (runs of spaces, spaces beside line ends, at the start or at the end) are cut at such spaces only.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,12 +21,14 @@ import pyarrow.compute as pc
 #: White space (and some more, which is harmless): a U+0020 beside one of these isn't a place to cut.
 _NEAR = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _UNCUT = rf"^ | $|{_NEAR} | {_NEAR}"
+#: The spaces at which any text may be cut.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Distinct chunks that a worker keeps, over all batches; the first ones met are mostly the frequent ones.
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: Text bytes that are encoded at a time; a longer text goes alone.
 STEP = 8 << 20
-#: Chunks that are handed to the library as one text.
-JOINED = 256
+#: Chunks that are handed to the library as one text, and characters that it encodes at a time.
+JOINED, ENCODED = 256, 1 << 18
 
 
 def _flat(encodings: list) -> tuple[np.ndarray, np.ndarray]:
@@ -52,35 +55,45 @@ class Encoder:
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return _flat(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        """All ids and their number per text. Encodings are large (some hundred bytes a token), so few live at a time."""
+        done, size, begin = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size > ENCODED or i + 1 == len(texts):
+                done.append(_flat(self.tokenizer.encode_batch_fast(texts[begin : i + 1], add_special_tokens=False)))
+                begin, size = i + 1, 0
+        return tuple(np.concatenate([np.zeros(0, k), *(d[j] for d in done)]) for j, k in enumerate((np.int32, np.int64)))
 
     def _spaced(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for each chunk, with a leading space."""
+        if not len(chunks):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         words = chunks.to_pylist()
-        ids, _ = self._encode([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
-        begin = np.flatnonzero(self.opens[ids])
-        if len(begin) != len(words):  # a special token or an odd vocabulary: one by one
-            return self._encode([" " + w for w in words])
-        return ids, np.diff(np.append(begin, len(ids)))
+        if not pc.any(pc.match_substring(chunks, " ")).as_py():
+            ids, _ = self._encode([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+            begin = np.flatnonzero(self.opens[ids])
+            if len(begin) == len(words):
+                return ids, np.diff(np.append(begin, len(ids)))
+        return self._encode([" " + w for w in words])  # chunks with spaces inside, or an odd vocabulary: one by one
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each chunk where its own begin there and how many they are."""
         found = pc.index_in(chunks, value_set=self.known)
-        new = chunks.filter(found.is_null())
+        fresh = found.is_null().to_numpy(zero_copy_only=False)
+        new = chunks.filter(pa.array(fresh))
         ids, n = self._spaced(new)
-        base = len(self.ids)
-        ends, at = base + np.cumsum(n), found.is_null().to_numpy(zero_copy_only=False)
+        ends = len(self.ids) + np.cumsum(n)
         begin, count = np.empty((2, len(chunks)), np.int64)
         slot = found.drop_null().to_numpy()
         begins = np.concatenate([[0], self.ends])
-        begin[~at], count[~at] = begins[slot], begins[slot + 1] - begins[slot]
-        begin[at], count[at] = ends - n, n
+        begin[~fresh], count[~fresh] = begins[slot], begins[slot + 1] - begins[slot]
+        begin[fresh], count[fresh] = ends - n, n
         flat = np.concatenate([self.ids, ids])
         room = min(len(new), CACHE - len(self.known))
         if room > 0:
             self.known = pa.concat_arrays([self.known, new.slice(0, room)])
             self.ends = np.concatenate([self.ends, ends[:room]])
-            self.ids = flat[: self.ends[-1]]
+            self.ids = flat[: self.ends[-1]].copy()
         return flat, begin, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +101,14 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        whole = pc.match_substring_regex(texts, _UNCUT).to_numpy(zero_copy_only=False)
-        if whole.any():
-            return self._mixed(texts, whole)
+        odd = pc.match_substring_regex(texts, _UNCUT).to_numpy(zero_copy_only=False)
+        if odd.any():
+            return self._mixed(texts, odd)
         parts = pc.split_pattern(texts, " ")
-        at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        words = parts.flatten()
+        return self._words(parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py())
+
+    def _words(self, words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in chunks; the first chunk of each has no space before it."""
         first = np.zeros(len(words), bool)
         first[at[:-1]] = True
         head_ids, head_n = self._encode(words.filter(pa.array(first)).to_pylist())
@@ -106,17 +121,16 @@ class Encoder:
         end = np.cumsum(each)
         return np.concatenate([ids, head_ids])[_runs(start, each, end)], np.concatenate([[0], end])[at]
 
-    def _mixed(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cut texts and whole ones apart, then back in their order."""
-        uncut = texts.filter(pa.array(whole)).to_pylist()
-        cut, bounds = self.encode(texts.filter(pa.array(~whole)))
-        n = np.empty(len(texts), np.int64)
-        begin = np.empty(len(texts), np.int64)
-        n[~whole], begin[~whole] = np.diff(bounds), bounds[:-1]
-        ids, n[whole] = self._encode(uncut)
-        begin[whole] = len(cut) + np.cumsum(n[whole]) - n[whole]
+    def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that are cut at every space and texts that are cut at some only, each apart, then back in their order."""
+        lists = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        some, some_at = self._words(pa.array(chain.from_iterable(lists), pa.large_string()), np.cumsum([0, *map(len, lists)]))
+        every, every_at = self.encode(texts.filter(pa.array(~odd)))
+        begin, n = np.empty((2, len(texts)), np.int64)
+        n[~odd], begin[~odd] = np.diff(every_at), every_at[:-1]
+        n[odd], begin[odd] = np.diff(some_at), len(every) + some_at[:-1]
         end = np.cumsum(n)
-        return np.concatenate([cut, ids])[_runs(begin, n, end)], np.concatenate([[0], end])
+        return np.concatenate([every, some])[_runs(begin, n, end)], np.concatenate([[0], end])
 
 
 def _runs(start: np.ndarray, n: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -141,6 +155,7 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP) -> Iterator[pa.R
         end = max(begin + 1, int(np.searchsorted(size, done + most, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
+        pa.default_memory_pool().release_unused()
 
 
 def default_tokenizer() -> str:
