@@ -148,7 +148,7 @@ def _fit(model: Scorer, p: np.ndarray, u: np.ndarray, prior: float | None, round
 
 
 def class_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Least ratio of the shares of unlabelled and of positive scores beyond a rank, less two standard errors of it.
+    """Least ratio of the shares of unlabelled and of positive scores beyond a rank, less one and a half standard errors of it.
 
     Each ratio bounds the prior from above; ranks stop at the positives' median, where both shares are still well known.
     """
@@ -156,7 +156,7 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     for cut_at in np.unique(np.quantile(p, np.linspace(0.0, 0.5, 51))):
         a, b = 1 - np.searchsorted(u, cut_at, "left") / len(u), 1 - np.searchsorted(p, cut_at, "left") / len(p)
         error = np.sqrt(a * (1 - a) / len(u) + (a / b) ** 2 * b * (1 - b) / len(p)) / b
-        best = min(best, a / b - 2 * error if len(u) > 30 else a / b)
+        best = min(best, a / b - 1.5 * error if len(u) > 30 else a / b)
     return float(np.clip(best, 0.02, 0.98))
 
 
