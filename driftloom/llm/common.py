@@ -55,6 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out anew where it has fewer partitions than the cluster has cores (a small or single file).
+
+    Larger inputs have more partitions than cores and stay where they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, keep in the shared checkpoint folder, and forget the lineage."""
     prepare(df.sparkSession)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEYS_SENT, cut, prepare, table
+from .common import KEYS_SENT, cut, prepare, spread, table
 
 #: Words of a window, of a hashed k-gram, and k-grams in a row of which the smallest is kept.
 WINDOW, K = 10, 5
@@ -126,7 +126,7 @@ def _covered(spans: Column) -> Column:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = hits(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     counted = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), _covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids")
     return counted.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

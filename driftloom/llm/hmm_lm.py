@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, prepare, table
+from .common import bounded_sample, cut, prepare, spread, table
 from .tokens import steps
 
 TOP, STATES, ROUNDS = 1 << 17, 8, 2
@@ -315,7 +315,7 @@ def score(docs: DataFrame, held_out, top: int = TOP, states: int = STATES, round
 
 def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     left_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
-    return score(table(spark, sf_dir, "documents"), left_out)
+    return score(spread(table(spark, sf_dir, "documents")), left_out)
 
 
 QUERIES = {"op7_hmm_lm": op7_hmm_lm}

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, spread, table
 
 LEAST = 0.8
 MOST_TEMPLATES, MOST_WORDS = 1000, 20_000
@@ -150,7 +150,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op4_licenses": op4_licenses}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, table
+from .common import cut, spread, table
 
 SEQ_LEN = 1024
 CLOSING_ID = 0
@@ -158,7 +158,7 @@ def padding(packed: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents"), tokens.default_tokenizer()))
+    return pack(pieces(spread(table(spark, sf_dir, "documents")), tokens.default_tokenizer()))
 
 
 QUERIES = {"op2_packing": op2_packing}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A start inside a run of digits never matches where the run's start doesn't, so runs are entered at their start only.
@@ -329,7 +329,7 @@ def redact(docs: DataFrame, field: Field | None = None, text_column: str = "text
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
+    found = find(spread(table(spark, sf_dir, "documents")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

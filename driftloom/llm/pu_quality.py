@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, prepare, table
+from .common import bounded_sample, cut, prepare, spread, table
 from .hmm_lm import split_words
 from .tokens import steps
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     left_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), left_out)
+    return score(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), left_out)
 
 
 QUERIES = {"op8_pu_quality": op8_pu_quality}

@@ -21,7 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import cut, prepare, spread, table
 
 #: A text with fewer words, or a larger share (in per cent) of words in repeated windows, fails whatever the rules say.
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -169,7 +169,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return judge(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), keep_text=False)
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, prepare, row_key, table, without
+from .common import cut, join_hot, prepare, row_key, spread, table, without
 from .components import components
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -180,7 +180,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
