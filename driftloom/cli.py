@@ -66,6 +66,10 @@ def _show(outcome) -> int:
         print(f"  {k}: {v}")
     for c in outcome.summary.get("checks", []):
         print(f"  check {c['name']}: {'ok' if c['passed'] else 'FAILED'}")
+    for name, shown in outcome.preview.items():
+        print(f"  {name}:")
+        for row in shown:
+            print("    " + ", ".join(f"{k}={v}" for k, v in row.items()))
     if outcome.message:
         print(f"  {outcome.message}")
     if outcome.reports:
@@ -152,7 +156,7 @@ def _spark(args: argparse.Namespace) -> int:
     if args.command in ("run", "dry-run"):
         dry = args.command == "dry-run"
         wanted = not dry or args.write_reports or args.html_report or args.reports_dir is not None
-        return _show(execute.execute_migration(spark, args.config, args.limit, dry, wanted, args.reports_dir, args.html_report))
+        return _show(execute.execute_migration(spark, args.config, args.limit, dry, wanted, args.reports_dir, args.html_report, lambda step, percent: print(f"{percent:3d} % {step}", file=sys.stderr)))
     if args.command == "run-all":
         done = execute.run_all(spark, args.config)
         return 0 if done and all(o is not None and o.ok for _, o, _ in done) else 1

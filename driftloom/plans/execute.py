@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from functools import partial
@@ -32,12 +33,22 @@ class Outcome:
     written: list[str] = field(default_factory=list)
     reports: reports.Paths | None = None
     message: str | None = None
+    #: The first rows of each output of a dry run.
+    preview: dict[str, list[dict[str, Any]]] = field(default_factory=dict)
 
     @property
     def ok(self) -> bool:
         return self.status in ("completed", "dry_run_completed")
 
 
+#: Rows that a dry run shows of each output.
+PREVIEW = 5
+
+
+def _silent(step: str, percent: int) -> None:
+    """No progress is shown."""
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -59,16 +70,22 @@ def _settle(paths: reports.Paths, payload: dict, errors: DataFrame, skipped: Dat
         reports.write_page(payload, errors, skipped, columns, paths.page)
 
 
-def execute_migration(spark: SparkSession, path: str | Path, limit: int | None = None, dry_run: bool = False, write_reports: bool = True, reports_dir: Path | None = None, page: bool = False) -> Outcome:
-    """Run a migration file. Outputs are checked before any is written; a failed run writes none."""
+def execute_migration(spark: SparkSession, path: str | Path, limit: int | None = None, dry_run: bool = False, write_reports: bool = True, reports_dir: Path | None = None, page: bool = False, progress: Callable[[str, int], None] = _silent) -> Outcome:
+    """Run a migration file. Outputs are checked before any is written; a failed run writes none.
+
+    ``progress`` is told each step and how much of the job is done by then, in per cent.
+    """
     path, started = Path(path), _now()
+    progress("config", 0)
     config = load_config(path, "run")
     base = path.parent
     to = partial(resolve, base=base)
     if not dry_run:
         precheck(config.outputs, to)
     run_id = _run_id(config.runtime)
+    progress("load and route", 5)
     r = run_migration(spark, config, base, None, limit, dry_run, run_id)
+    progress("outputs", 50)
     plan = r.plan
     written = []
     by = {(e["stage"], e["rule"]): e["count"] for e in plan.errors.groupBy("stage", "rule").count().collect()}
@@ -77,6 +94,8 @@ def execute_migration(spark: SparkSession, path: str | Path, limit: int | None =
         for name, spec in config.outputs.items():
             write_csv(r.outputs[name], plan.types[name], [ROW], to(spec.path), spec.encoding, spec.delimiter, spec.newline)
             written.append(name)
+            progress(f"output {name}", 50 + 40 * len(written) // len(config.outputs))
+    preview = {n: [x.asDict() for x in d.orderBy(ROW).limit(PREVIEW).drop(ROW).collect()] for n, d in r.outputs.items()} if dry_run else {}
     name, source = next(iter(config.inputs.items()))
     first = next(iter(config.outputs))
     lookups = of({"mapping"}, {"lookup_missing"})
@@ -101,7 +120,8 @@ def execute_migration(spark: SparkSession, path: str | Path, limit: int | None =
     if write_reports:
         paths = reports.report_paths(config.error_handling, config.runtime, base, reports_dir, page)
         _settle(paths, payload, r.errors, r.skipped, reports.MIGRATION_ERRORS)
-    return Outcome("run", r.status, r.counts, payload, written, paths, r.stop_message)
+    progress("done", 100)
+    return Outcome("run", r.status, r.counts, payload, written, paths, r.stop_message, preview)
 
 
 def _final(r) -> str:

@@ -73,8 +73,8 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
     for part, n in counts:
         before.append((part, total - (part << 33) + 1))
         total += n
-    shift = F.create_map(*[F.lit(x).cast(t) for part, offset in before for x, t in ((part, "int"), (offset, "bigint"))])
-    return tagged.withColumn(name, F.col("__at") + shift[F.col("__part")]).drop("__part", "__at")
+    shifts = F.broadcast(df.sparkSession.createDataFrame(before, "__part int, __shift bigint"))  # one row for each partition
+    return tagged.join(shifts, "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
 def raw_csv(spark: SparkSession, path: str, encoding: str = "utf-8-sig", delimiter: str = ",", multi_line: bool = True) -> DataFrame:

@@ -112,7 +112,9 @@ def test_migration_files(spark, tmp_path):
 
 def test_dry_run_writes_nothing_and_stop_leaves_no_output(spark, tmp_path):
     path = job(tmp_path)
-    out = execute_migration(spark, path, dry_run=True, write_reports=False)
+    steps = []
+    out = execute_migration(spark, path, dry_run=True, write_reports=False, progress=lambda s, p: steps.append(p))
+    assert steps == sorted(steps) and steps[-1] == 100 and [r["id"] for r in out.preview["o"]] == ["a"]
     assert out.status == "dry_run_completed" and not (tmp_path / "out").exists() and not (tmp_path / "reports").exists()
     path = job(tmp_path, CONFIG | {"error_handling": HANDLING | {"on_lookup_missing": "stop"}})
     out = execute_migration(spark, path)
