@@ -81,7 +81,8 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "
     size, members, lengths = classes.agg(F.sum(F.octet_length(F.array_join("item", " "))), F.sum(F.size("ids")), F.collect_set(F.when(F.size("item") < WINDOW, F.least(F.size("item"), F.lit(K))))).first()
     short = sorted(lengths)
     marks = classes.sparkSession.range(1).select(F.lit(_MARK).cast("long").alias("key"), F.lit(None).cast("long").alias("class"), F.lit(0).alias("q"))
-    long_items = _kept(classes.where(F.size("item") >= WINDOW).select("class", F.col("item").alias("words")), []).select("class", F.explode("kept").alias("x"))
+    # Stored before it is exploded: the optimizer would else put a filter with all of its making, nested, below it.
+    long_items = cut(_kept(classes.where(F.size("item") >= WINDOW).select("class", F.col("item").alias("words")), []).select("class", "kept")).select("class", F.explode("kept").alias("x"))
     prints = long_items.select(F.shiftright("x", _AT).alias("key"), "class", F.col("x").bitwiseAND((1 << _AT) - 1).cast("int").alias("q"))
     for k in short:
         firsts = classes.where((F.size("item") < WINDOW) & (F.least(F.size("item"), F.lit(K)) == k)).select("class", F.transform("item", lambda w: F.xxhash64(w)).alias("hashes"))
