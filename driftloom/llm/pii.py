@@ -9,7 +9,7 @@ can only be ordinary. So a text falls into runs between those words, each is dec
 batch go through Viterbi side by side.
 
 Defined results: a null or empty text has no spans; ids are carried, null or repeated; an empty table gives no rows;
-``redact`` carries other columns. Memory is one Arrow batch and the words of one text.
+``redact`` carries other columns. Memory is one Arrow batch and what a few megabytes of its texts need.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, spread, table
+from .tokens import steps
 
 KINDS = ("email", "ip", "card", "phone")
 #: A start inside a run of digits never matches where the run's start doesn't, so runs are entered at their start only.
@@ -297,7 +298,7 @@ def find(docs: DataFrame, field: Field | None = None, id_column: str = "doc_id",
     shown = lambda x: [{"start": a, "kind": KINDS[k], "end": b} for a, k, b in x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in steps(b, "text")):
             found = all_spans([t or "" for t in batch.column("text").to_pylist()], sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shown(b) for b, _ in found], kind), pa.array([shown(sorted(b + a)) for b, a in found], kind)], ["doc_id", "base", "spans"])
 
@@ -319,7 +320,7 @@ def redact(docs: DataFrame, field: Field | None = None, text_column: str = "text
         return "".join([*out, text[past:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in steps(b, text_column)):
             i = batch.schema.get_field_index(text_column)
             texts = batch.column(i).to_pylist()
             found = all_spans([t or "" for t in texts], sent.value)
