@@ -99,15 +99,17 @@ def without(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_co
     return docs.withColumn(name, row_key(id_column, text_column)).join(F.broadcast(drop) if drop.count() <= KEYS_SENT else drop, name, "left_anti").select(*docs.columns)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """Join on ``key`` (unique in ``right``) where a few keys may hold most rows of ``left``.
 
     Keys with more than 1/HOT_SHARE of the rows are at most HOT_SHARE, so their part of ``right`` has a proven bound
     and is broadcast; all other keys meet in a shuffled join, in which none of them is large. ``left`` is read twice
     and should be cheap to read. Rows with a null key stay in the shuffled part, spread by Spark as unmatched.
+    ``counts`` (key, n) has the rows of ``left`` by key, if they are known and stored.
     """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     total = left.count()
-    hot = left.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > max(1000, total // HOT_SHARE))).select(key)
+    hot = counts.where(F.col(key).isNotNull() & (F.col("n") > max(200, total // HOT_SHARE))).select(key)
     keys = [r[0] for r in hot.limit(HOT_SHARE + 1).collect()]
     if not keys:
         return left.join(right, key, how)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 _EDGES = "a long, b long"
 
@@ -35,14 +35,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is linked to the smallest one in reach instead."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n")))
+    return join_hot(both.where("b > a"), low.select("a", "low"), "a", "inner", low.select("a", "n")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a vertex, and the vertex, is linked to the smallest of them. Links run from a down to b."""
-    low = edges.groupBy("a").agg(F.min("b").alias("low"))
-    moved = edges.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = cut(edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")))
+    moved = join_hot(edges, low.select("a", "low"), "a", "inner", low.select("a", "n")).where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
 
 
@@ -56,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(down.mapInArrow(_forest, _EDGES))
     mark = None
     while True:
-        edges = cut(_small(_large(edges)))
+        edges = cut(_small(cut(_large(edges))))
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark or not new[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
