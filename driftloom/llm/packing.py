@@ -30,6 +30,8 @@ from .common import cut, spread, table
 
 SEQ_LEN = 1024
 CLOSING_ID = 0
+#: Text bytes that are encoded at a time; small, as packing often runs where workers still hold what others left.
+STEP = 3 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -39,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, closing_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
         for batch in batches:
-            for x in tokens.steps(batch, "text"):
+            for x in tokens.steps(batch, "text", STEP):
                 ids, at = encoder.encode(x.column("text"))
                 ids = np.insert(ids, at[1:], closing_id).astype("<u4")
                 total = np.diff(at) + 1
@@ -137,7 +139,7 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, seq_len: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
         for batch in batches:
-            for x in tokens.steps(batch, "text"):
+            for x in tokens.steps(batch, "text", STEP):
                 ids, at = encoder.encode(x.column("text"))
                 for row in range(x.num_rows):
                     own = np.append(ids[at[row] : at[row + 1]], closing_id).astype(np.int32)
