@@ -169,7 +169,11 @@ def groups(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (null is largest); of repeated rows, one."""
-    found = cut(near_duplicates(docs, max_bits))
+    return first_of_groups(docs, cut(near_duplicates(docs, max_bits)))
+
+
+def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``keep_one`` by a stored table of groups (doc_id, key, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     chosen = cut(found.groupBy("root").agg(first).select("first.key"))
     kept = without(docs, cut(found.select("key").distinct().join(chosen, "key", "left_anti")))
