@@ -1,10 +1,11 @@
 """Operator 4: licence scans by the Dice coefficient over word bigrams.
 
-A passage (a line, a block of lines between blank ones, or a whole text) is normalised to lower-case words and
-compared with each template: twice the shared bigrams over all bigrams, counted with repeats. A coefficient of ``LEAST`` bounds the size:
+A passage (a line, a block of lines between blank ones, a whole text, or the run of words anywhere in it that is nearest
+to a template) is normalised to lower-case words and compared with each template: twice the shared bigrams over all bigrams, counted with repeats. A coefficient of ``LEAST`` bounds the size:
 a passage with fewer than LEAST / (2 - LEAST) or more than (2 - LEAST) / LEAST times the bigrams of a template can't
 reach it, and the passage must hold that first share of the template's own bigrams. So it holds one of any words
-that cover the rest of them, and texts without any such word are passed over by one pattern search.
+that cover the rest of them, and texts without any such word are passed over by one pattern search. The nearest run
+begins and ends with a bigram of the template, so only such bounds are tried, all of them where enough bigrams follow.
 
 The templates are a parameter; the default ones are short texts and notices of common licences. They are sent to the executors, bounded by
 ``MOST_TEMPLATES`` of at most ``MOST_WORDS`` words (more raise an error).
@@ -16,9 +17,12 @@ passage (ties: the earliest, then the shortest); repeated rows are scanned apart
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +82,12 @@ class Scanner:
         self.pattern = "(?i)" + "|".join(re.escape(w) for w in sorted(anchors)) if anchors else "$^"
         self.fewest = min((b.total() for _, b in self.templates), default=0) * self.share
         self.most = max((b.total() for _, b in self.templates), default=0) / self.share
+        #: Templates by bigram: number of the template, and repeats of the bigram in it.
+        self.holders: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for i, (_, b) in enumerate(self.templates):
+            for pair, n in b.items():
+                self.holders.setdefault(pair, []).append((i, n))
+        self.singles = {w for w, second in self.holders if not second}
 
     def _anchors(self, pairs: Counter) -> set[str]:
         """Words, longest first, that touch more than 1 - share of the bigrams: a match must hold one of them."""
@@ -93,7 +103,7 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, start, end) of the best passage of each licence that is found."""
         best: dict[str, tuple[float, int, int]] = {}
-        for a, b in passages(text):
+        for a, b in passages(text, self):
             words = normalised(text[a:b])
             n = max(1, len(words) - 1)
             if not words or not self.fewest <= n <= self.most or self.anchors.isdisjoint(words):
@@ -108,7 +118,24 @@ class Scanner:
         return [(k, *v) for k, v in sorted(best.items())]
 
 
-def passages(text: str) -> Iterator[tuple[int, int]]:
+def passages(text: str, scanner: Scanner | None = None) -> Iterator[tuple[int, int]]:
+    """``parts`` of the text and the runs of words nearest to each of the templates, but for runs that are a part's words."""
+    scanner = scanner or _default()
+    own = list(parts(text))
+    yield from own
+    words, begin, end = [], [], []
+    for m in _WORD.finditer(text):
+        for w in normalised(m[0]):
+            words.append(w)
+            begin.append(m.start())
+            end.append(m.end())
+    runs = windows(words, scanner)
+    if runs:
+        known = {(bisect_left(begin, a), bisect_left(begin, b)) for a, b in own}
+        yield from sorted({(begin[i], end[j - 1]) for i, j in runs if (i, j) not in known})
+
+
+def parts(text: str) -> Iterator[tuple[int, int]]:
     """Lines, blocks of two or more lines between blank ones, and the whole text if it isn't one of these."""
     at, block, lines = 0, None, 0
     found = set()
@@ -132,6 +159,44 @@ def passages(text: str) -> Iterator[tuple[int, int]]:
         yield 0, len(text)
 
 
+@cache
+def _default() -> Scanner:
+    return Scanner(TEMPLATES)
+
+
+def windows(words: list[str], scanner: Scanner) -> set[tuple[int, int]]:
+    """(first word, one past the last) of the run nearest to each template that is reached: the earliest, then shortest."""
+    at: dict[int, list[tuple[int, int]]] = {}  # by template: place of a bigram, place of its n-th last repeat
+    seen: dict[tuple[str, str], list[int]] = {}
+    for p, pair in enumerate(zip(words, words[1:], strict=False)):
+        if pair in scanner.holders:
+            earlier = seen.setdefault(pair, [])
+            for i, n in scanner.holders[pair]:
+                at.setdefault(i, []).append((p, earlier[-n] if len(earlier) >= n else -1))
+            earlier.append(p)
+    out = set()
+    for w in scanner.singles.intersection(words):
+        out.add((words.index(w), words.index(w) + 1))
+    for i, found in at.items():
+        size = scanner.templates[i][1].total()
+        if len(found) < scanner.share * size:
+            continue
+        place, before = np.array(found).T
+        most = int(size / scanner.share)
+        last = np.searchsorted(place, place + most)  # the run has ``most`` bigrams at most
+        best = None
+        for k in np.flatnonzero(last - np.arange(len(place)) >= scanner.share * size).tolist():
+            ends = slice(k, last[k])
+            shared = np.cumsum(before[ends] < place[k])
+            d = 2 * shared / (place[ends] - place[k] + 1 + size)
+            m = int(d.argmax())
+            if d[m] >= scanner.least - 1e-9 and (best is None or d[m] > best[0]):
+                best = d[m], int(place[k]), int(place[k + m]) + 2
+        if best:
+            out.add(best[1:])
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, license, dice, start, end): code points of the best passage."""
     prepare(docs.sparkSession)
