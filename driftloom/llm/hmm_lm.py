@@ -2,9 +2,9 @@
 
 Tokens are words (ASCII lower case, between white space) and one end token per text. The ``TOP`` most frequent words
 of the training texts, the end, and one class for all other words are what the states emit; a word of that class has a
-share of it by its own count. Counts come from all training texts. A bounded sample of ``SAMPLE`` training texts only
-gives the starting point; each Baum-Welch round after that runs over all training texts, partitions summing expected
-counts that Spark then adds up, state by state and word by word. Scores are exact log likelihoods by the scaled forward recursion.
+share of it by its own count. Counts come from all training texts. The states start from the words of the
+texts that a hash gives them; each Baum-Welch round runs over all training texts in full, partitions summing expected
+counts that Spark then adds up, state by state and word by word, until the likelihood settles. Scores are exact log likelihoods by the scaled forward recursion.
 
 What is broadcast is bounded by parameters: TOP words and STATES * (TOP + 2) emission rates. Counts of the other words, as many
 as the corpus has, meet the texts in a shuffled join, one row per text and distinct word; no such word holds more than 1 / TOP of all tokens.
@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, prepare, spread, table
+from .common import cut, prepare, spread, table
 from .tokens import steps
 
-TOP, STATES, ROUNDS = 1 << 17, 8, 2
-#: Texts of the starting sample, tokens that are used of each there, and rounds over it.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 1500, 400, 15
+TOP, STATES = 1 << 17, 8
+#: Most and fewest rounds; they end when two in a row gain less than SETTLED decimal digits a token.
+ROUNDS, FEWEST, SETTLED = 60, 10, 5e-4
 #: Tokens added to each word, shared out as the states share all tokens: a rare word is nobody's own.
 PULL = 2.0
 #: Tokens of a numpy batch; in training, longer texts count as several.
@@ -172,11 +172,11 @@ def forward(model: Model, laid: _Laid, keep: bool) -> tuple[np.ndarray, np.ndarr
     return out, rates, scales, emit
 
 
-def expected(model: Model, laid: _Laid, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
-    """Add the expected counts of one batch to (states, words + 2), (states, states) and (states)."""
+def expected(model: Model, laid: _Laid, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> float:
+    """Add the expected counts of one batch to (states, words + 2), (states, states) and (states); returns its log10 likelihood."""
     if not len(laid.order):
-        return
-    _, rates, scales, emit = forward(model, laid, True)
+        return 0.0
+    logs, rates, scales, emit = forward(model, laid, True)
     later = None
     back = model.move.T.copy()
     for t in range(len(laid.active) - 1, -1, -1):
@@ -191,6 +191,7 @@ def expected(model: Model, laid: _Laid, emitted: np.ndarray, moved: np.ndarray,
     started += rates[: laid.active[0]].sum(axis=0)
     for k in range(len(emitted)):
         emitted[k] += np.bincount(laid.seen, weights=rates[:, k], minlength=emitted.shape[1])
+    return float(logs.sum())
 
 
 def renew(model: Model, plain: np.ndarray, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> Model:
@@ -222,53 +223,75 @@ def _batches(ids: pa.ListArray, split: bool) -> Iterator[tuple[_Laid, np.ndarray
         i = j
 
 
+def _training(encoded: DataFrame, *columns) -> DataFrame:
+    """Columns of all training texts in few partitions, each of which hands on one row a word."""
+    return encoded.where(~F.col("held_out")).select(*columns).coalesce(2 * encoded.sparkSession.sparkContext.defaultParallelism)
+
+
 def starting_model(encoded: DataFrame, plain: np.ndarray, states: int = STATES) -> Model:
-    """Rounds over a sample: the training texts of the smallest hashes, whatever their number."""
-    ids = F.slice("ids", 1, SAMPLE_TOKENS).alias("ids")
-    picked = bounded_sample(encoded.where(~F.col("held_out")), ("doc_id", "row"), SAMPLE).select("row", ids).toArrow().sort_by("row")
-    lists = picked.column("ids").combine_chunks() if picked.num_rows else pa.array([], pa.list_(pa.int32()))
-    random = np.random.default_rng(7)
-    emitted = np.zeros((states, len(plain)))
-    own = random.integers(states, size=len(lists))
-    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    for k in range(states):
-        mine = [flat[at[i] : at[i + 1]] for i in np.flatnonzero(own == k)]
-        emitted[k] = np.bincount(np.concatenate([np.zeros(0, np.int32), *mine]), minlength=len(plain))
+    """Each state has the words of the training texts that a hash gives it: all of them, in full."""
+    words, names = len(plain), [f"s{k}" for k in range(states)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emitted = np.zeros((states, words), np.int64)
+        for batch in batches:
+            ids = batch.column("ids")
+            own = np.repeat(batch.column("own").to_numpy(), np.diff(ids.offsets.to_numpy()))
+            seen = ids.flatten().to_numpy()
+            for k in range(states):
+                emitted[k] += np.bincount(seen[own == k], minlength=words)
+        kept = np.flatnonzero(emitted.any(axis=0))
+        for i in range(0, len(kept), 1 << 16):
+            part = kept[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(v[part]) for v in emitted)], ["key", *names])
+
+    rows = _training(encoded, "ids", F.pmod(F.xxhash64("ids"), F.lit(states)).alias("own")).mapInArrow(run, "key int, " + ", ".join(f"{n} long" for n in names))
+    sums = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most words rows
+    emitted = np.zeros((states, words))
+    if sums.num_rows:
+        emitted[:, sums.column("key").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names])
     stay = np.where(np.eye(states, dtype=bool), 0.97, 0.03 / max(1, states - 1))
-    model = renew(Model(np.full(states, 1 / states), stay, plain[:, None]), plain, emitted, np.full((states, states), 1e6), np.ones(states))
-    for _ in range(SAMPLE_ROUNDS if len(lists) else 0):
-        sums = np.zeros((states, len(plain))), np.zeros((states, states)), np.zeros(states)
-        for laid, _ in _batches(lists, True):
-            expected(model, laid, *sums)
-        model = renew(model, plain, *sums)
-    return model
+    return renew(Model(np.full(states, 1 / states), stay, plain[:, None]), plain, emitted, np.full((states, states), 1e6), np.ones(states))
 
 
-def baum_welch(encoded: DataFrame, model: Model, plain: np.ndarray) -> Model:
-    """One round over all training texts: expected counts by partition, added up by word and state."""
+def baum_welch(encoded: DataFrame, model: Model, plain: np.ndarray) -> tuple[Model, float]:
+    """One round over all training texts: expected counts by partition, added up by word and state; and the log10 likelihood before it."""
     states, words = len(model.start), len(plain)
     sent = encoded.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emitted, moved, started = np.zeros((states, words)), np.zeros((states, states)), np.zeros(states)
+        emitted, moved, started, log = np.zeros((states, words)), np.zeros((states, states)), np.zeros(states), 0.0
         for batch in batches:
             for laid, _ in _batches(batch.column("ids"), True):
-                expected(sent.value, laid, emitted, moved, started)
-        # Words first, then one row for each state moved from, then the starts.
+                log += expected(sent.value, laid, emitted, moved, started)
+        # Words first, then one row for each state moved from, then the starts and the likelihood.
         kept = np.flatnonzero(emitted.any(axis=0))
-        keys = np.concatenate([kept, words + np.arange(states), [words + states]])
-        values = np.concatenate([emitted[:, kept], moved.T, started[:, None]], axis=1).astype(np.float32)
+        keys = np.concatenate([kept, words + np.arange(states), [words + states, words + states + 1]])
+        values = np.concatenate([emitted[:, kept], moved.T, started[:, None], np.full((states, 1), log)], axis=1).astype(np.float32)
         for i in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)], pa.int32()), *(pa.array(v[i : i + (1 << 16)]) for v in values)], ["key", *names])
 
-    rows = encoded.where(~F.col("held_out")).select("ids").mapInArrow(run, "key int, " + ", ".join(f"{n} float" for n in names))
-    sums = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most words + states + 1 rows
+    rows = _training(encoded, "ids").mapInArrow(run, "key int, " + ", ".join(f"{n} float" for n in names))
+    sums = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most words + states + 2 rows
     sent.unpersist()
-    full = np.zeros((states, words + states + 1))
+    full = np.zeros((states, words + states + 2))
     if sums.num_rows:
         full[:, sums.column("key").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names])
-    return renew(model, plain, full[:, :words], full[:, words : words + states].T, full[:, -1])
+    return renew(model, plain, full[:, :words], full[:, words : words + states].T, full[:, -2]), float(full[0, -1])
+
+
+def learn(encoded: DataFrame, vocab: Vocabulary, plain: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """Rounds over all training texts until two in a row gain less than SETTLED a token."""
+    model, last, calm = starting_model(encoded, plain, states), -np.inf, 0
+    for done in range(1, rounds + 1):
+        model, log = baum_welch(encoded, model, plain)
+        encoded.sparkSession._jvm.System.gc()  # what the round shuffled goes from the executors' disks
+        calm = calm + 1 if log - last <= SETTLED * vocab.total else 0
+        if calm >= 2 and done >= FEWEST:
+            break
+        last = log
+    return model
 
 
 def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
@@ -299,9 +322,7 @@ def score(docs: DataFrame, held_out, top: int = TOP, states: int = STATES, round
     vocab = vocabulary(counts, training.count(), top)
     plain = vocab.rates()
     encoded = cut(encode(texts, vocab))
-    model = starting_model(encoded, plain, states)
-    for _ in range(rounds):
-        model = baum_welch(encoded, model, plain)
+    model = learn(encoded, vocab, plain, states, rounds)
     met = encoded.select("row", F.explode("others").alias("x")).select("row", "x.word", F.col("x.n").alias("k"))
     own = met.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("own_log"))
     both = likelihoods(encoded, model).join(own, "row", "left")
