@@ -414,7 +414,70 @@ def profile_top_values(spark, d):
     return profile.top_values(_loaded(_table(spark, d, "customer", "c_custkey").select("c_mktsegment", ROW))).select("field", F.col("rank").cast("bigint").alias("rank"), "value", "n")
 
 
+# ---- frames that carry no row number of their own; whole error and skip reports; run statuses ----
+
+
+def _numbers(plan) -> DataFrame:
+    """One row: what numbering must give, whatever the frame's plan is."""
+    out = plan.outputs["out"]
+    return out.agg(F.count("*").alias("rows"), F.count_distinct(ROW).alias("numbers"), F.min(ROW).alias("lowest"), F.max(ROW).alias("highest"), F.sum("key").cast("bigint").alias("keys"))
+
+
+def frame_join_numbered(spark, d):
+    joined = _table(spark, d, "lineitem").join(_table(spark, d, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return _numbers(_plan(spark, joined, {"key": {"source": "t.l_orderkey"}, "price": {"source": "t.o_totalprice"}}))
+
+
+def frame_groupby_numbered(spark, d):
+    grouped = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.max("l_shipdate").cast("string").alias("last"), F.count("*").alias("n"))
+    return _numbers(_plan(spark, grouped, {"key": {"source": "t.l_partkey"}, "n": {"source": "t.n"}}))
+
+
+def error_rows_whole(spark, d):
+    """All columns of the error report, its message and its row as JSON with them."""
+    df = _table(spark, d, "nation", "n_nationkey").select("n_nationkey", "n_name", ROW)
+    rules = {"key": {"source": "t.n_nationkey"}, "part": {"map": {"source": "t.n_name", "values": {"FRANCE": "W", "JAPAN": "E"}}}}
+    plan = _plan(spark, df, rules, validations={"input": [{"field": "t.n_nationkey", "rule": "max", "value": 20}], "output": [{"field": "out.part", "rule": "enum", "values": ["W"]}]})
+    return plan.errors.select("row_number", "stage", "output_name", "field", "rule", "message", "row_json")
+
+
+def skipped_rows_whole(spark, d):
+    df = _table(spark, d, "nation", "n_nationkey").select("n_nationkey", "n_name", ROW)
+    return _plan(spark, df, {"key": {"source": "t.n_nationkey"}}, filters={"exclude": [{"if": "t.n_nationkey > 9", "reason": "late"}]}).skipped.select("row_number", "reason", "row_json")
+
+
+def policy_statuses(spark, d):
+    """(policy, status, stop_reason, error rows, output rows) of one migration under each error policy."""
+    df = _table(spark, d, "orders", "o_orderkey")
+    rows = []
+    for policy in ({"on_validation_error": "stop"}, {"on_transform_error": "stop"}, {"max_errors": 3}, {"max_errors": 10_000_000}):
+        raw = {"version": 1, "project": {"name": "p"}, "inputs": {"t": {"path": "t", "schema": _fields(df)}}, "outputs": {"out": {"path": "out.csv", "columns": ["key", "status"]}}, "error_handling": _HANDLING | {"max_errors": 1_000_000} | policy,
+               "mappings": {"out": {"key": {"source": "t.o_orderkey"}, "status": {"map": {"source": "t.o_orderstatus", "values": {"F": "final", "O": "open"}}}}}, "validations": {"output": [{"field": "out.status", "rule": "enum", "values": ["final"]}]}}
+        r = run_migration(spark, parse(Migration, raw), None, {"t": df})
+        rows.append((next(iter(policy)) + "=" + str(next(iter(policy.values()))), r.status, r.stop_reason, r.errors.count(), r.outputs["out"].count()))
+    return spark.createDataFrame(rows, "policy string, status string, stop_reason string, error_rows bigint, output_rows bigint")
+
+
+def profile_samples(spark, d):
+    found = profile.sample_values(_loaded(_table(spark, d, "customer", "c_custkey").withColumn("c_mktsegment", F.expr("nullif(c_mktsegment, 'BUILDING')")).select("c_custkey", "c_mktsegment", ROW)))
+    return spark.createDataFrame([(f, i, v) for f, vs in found.items() for i, v in enumerate(vs, 1)], "field string, place bigint, value string")
+
+
 _ORACLES = {
+    "normalize_nfkc": "select p_partkey, 'ABC' || p_name || '123' as name from part",
+    "frame_join_numbered": "select count(*) as rows, count(*) as numbers, 1::bigint as lowest, count(*) as highest, sum(l_orderkey)::bigint as keys from lineitem join orders on l_orderkey = o_orderkey",
+    "frame_groupby_numbered": "select count(*) as rows, count(*) as numbers, 1::bigint as lowest, count(*) as highest, sum(l_partkey)::bigint as keys from (select distinct l_partkey from lineitem)",
+    "error_rows_whole": """with n as (select n_nationkey as k, n_name as s, '{"__row_number":' || n_nationkey || ',"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' as j from nation)
+select k as row_number, 'input_validation' as stage, null::varchar as output_name, 't.n_nationkey' as field, 'max' as rule, 'value is greater than max 20: ' || k as message, j as row_json from n where k > 20
+union all select k, 'mapping', 'out', 'part', 'map', 'part: unmapped values: ''' || s || '''', j from n where k <= 20 and s not in ('FRANCE', 'JAPAN')
+union all select k, 'output_validation', 'out', 'out.part', 'enum', 'value is not in enum: ''E''', '{"key":' || k || ',"part":"E"}' from n where k <= 20 and s = 'JAPAN'""",
+    "skipped_rows_whole": """select n_nationkey as row_number, 'late' as reason, '{"__row_number":' || n_nationkey || ',"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' as row_json from nation where n_nationkey > 9""",
+    "policy_statuses": """with n as (select count(*) filter (o_orderstatus = 'P') as p, count(*) filter (o_orderstatus = 'O') as o, count(*) filter (o_orderstatus = 'F') as f, min(o_orderkey) filter (o_orderstatus = 'P') as first from orders)
+select 'on_validation_error=stop' as policy, 'failed' as status, 'validation_error' as stop_reason, p + o as error_rows, 0::bigint as output_rows from n
+union all select 'on_transform_error=stop', 'failed', 'transform_error', (select count(*) from orders where o_orderstatus <> 'F' and o_orderkey <= first), 0 from n
+union all select 'max_errors=3', 'failed', 'max_errors', 4, 0 from n union all select 'max_errors=10000000', 'completed', null, p + o, f from n""",
+    "profile_samples": """select 'c_custkey' as field, row_number() over (order by c_custkey) as place, c_custkey::varchar as value from customer qualify place <= 3
+union all select 'c_mktsegment', row_number() over (order by c_custkey) as place, c_mktsegment from customer where c_mktsegment <> 'BUILDING' qualify place <= 3""",
     "flagship_migration": _FLAGSHIP,
     "scan_project_source_value": "select n_nationkey as id, n_name as name, 'CRM' as source_system, null::varchar as nothing from nation",
     "filter_include_exclude": f"select o_orderkey as key from orders where ({_SKIP_CASE}) is null",
@@ -476,7 +539,8 @@ min(o_orderdate) as from_date, arg_min(note, o_orderkey) filter (note is not nul
 
 
 def queries() -> dict:
-    plain = (scan_project_source_value, filter_include_exclude, skip_report, condition_nulls, map_default, map_error_report, when_case, concat_pystr, generate_id, lookup_single, lookup_composite, lookup_error_report, expr_arith, expr_floor_mod_pow, expr_round_abs_min_max, expr_missing_error_report, expr_missing_survivors, derived_dag, multiple_outputs, normalize_trim_commas_currency, normalize_nfkc, casts, limit_input, validate_rules, validate_survivors, validate_output, validate_referential_integrity, checks_row_accounting, merge_left, merge_inner, merge_inner_skipped, merge_key_errors, union_all_keyed, union_key_errors, reference_key_errors, unpivot_keep_null, unpivot_drop_null, aggregate_group, aggregate_errors, consolidate_parent, consolidate_child, consolidate_conflict, profile_columns, profile_top_values)
+    plain = (scan_project_source_value, filter_include_exclude, skip_report, condition_nulls, map_default, map_error_report, when_case, concat_pystr, generate_id, lookup_single, lookup_composite, lookup_error_report, expr_arith, expr_floor_mod_pow, expr_round_abs_min_max, expr_missing_error_report, expr_missing_survivors, derived_dag, multiple_outputs, normalize_trim_commas_currency, normalize_nfkc, casts, limit_input, validate_rules, validate_survivors, validate_output, validate_referential_integrity, checks_row_accounting, merge_left, merge_inner, merge_inner_skipped, merge_key_errors, union_all_keyed, union_key_errors, reference_key_errors, unpivot_keep_null, unpivot_drop_null, aggregate_group, aggregate_errors, consolidate_parent, consolidate_child, consolidate_conflict, profile_columns, profile_top_values,
+             frame_join_numbered, frame_groupby_numbered, error_rows_whole, skipped_rows_whole, policy_statuses, profile_samples)
     found = {"flagship_migration": flagship} | {f.__name__: f for f in plain}
     found |= {"lookup_missing_default": _lookup_missing({"on_missing": "default", "default": "nobody"}), "lookup_missing_empty": _lookup_missing({"on_missing": "empty"}), "lookup_missing_null": _lookup_missing({"on_missing": "null"})}
     return found | {"match_group_ids": _match(True), "match_no_singletons": _match(False)}

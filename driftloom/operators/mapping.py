@@ -14,8 +14,9 @@ from ..expr.scope import ERROR, Compiled, CompileError, Scope, error, is_referen
 from ..functions.text import Typed, is_blank, literal, python_repr, python_text, unify
 from ..sources.scan import Loaded
 
-#: A reference with at most this many rows (counted) is broadcast; larger ones meet the input in a shuffled join.
-BROADCAST_ROWS = 500_000
+#: A reference with at most this many rows and bytes of text in its keys and the values that are looked up (counted) is
+#: broadcast; larger ones meet the input in a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 @dataclass
@@ -24,13 +25,32 @@ class References:
 
     loaded: dict[str, Loaded]
     keys: dict[str, str | list[str]]
+    #: Value columns that some lookup uses, by reference.
+    used: dict[str, set[str]]
     joined: dict[tuple, str] = field(default_factory=dict)
-    sizes: dict[str, int] = field(default_factory=dict)
-
-    def rows(self, name: str) -> int:
-        if name not in self.sizes:
-            self.sizes[name] = self.loaded[name].df.limit(BROADCAST_ROWS + 1).count()
-        return self.sizes[name]
+    small: dict[str, bool] = field(default_factory=dict)
+
+    def fits(self, name: str) -> bool:
+        """Whether the part of a reference that lookups need is small enough to be broadcast."""
+        if name not in self.small:
+            keys = self.keys[name]
+            needed = sorted({*([keys] if isinstance(keys, str) else keys), *self.used.get(name, ())})
+            size = F.lit(0)
+            for c in needed:
+                size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+            n, bytes_ = self.loaded[name].df.limit(BROADCAST_ROWS + 1).select(size.cast("bigint").alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+            self.small[name] = n <= BROADCAST_ROWS and bytes_ <= BROADCAST_BYTES
+        return self.small[name]
+
+
+def values_used(config) -> dict[str, set[str]]:
+    """The value columns that a migration's lookups take from each reference."""
+    used: dict[str, set[str]] = {}
+    for rules in (config.derived, *config.mappings.values()):
+        for rule in rules.values():
+            if rule.kind == "lookup":
+                used.setdefault(rule.lookup.reference, set()).add(rule.lookup.value)
+    return used
 
 
 class Mapper:
@@ -124,7 +144,7 @@ class Mapper:
         name = self._join(spec.reference, tuple(keys), mine, ref_keys) if alike else None
         # Keys of unlike types never meet: no text is read as a number for a lookup.
         met = F.col(name).isNotNull() if name else F.lit(False)
-        target = Typed(F.col(name)[spec.value] if name else F.lit(None).cast("string"), loaded.types[spec.value] if name else "null")
+        target = Typed(F.col(f"`{name}_{spec.value}`") if name else F.lit(None).cast("string"), loaded.types[spec.value] if name else "null")
         if spec.on_missing == "default" and "default" not in spec.given:
             raise CompileError("lookup on_missing 'default' requires default value")
         instead = literal({"default": spec.default, "empty": ""}.get(spec.on_missing))
@@ -136,18 +156,18 @@ class Mapper:
         return Compiled(Typed(F.when(met, a).otherwise(b), kind), bad)
 
     def _join(self, reference: str, keys: tuple[str, ...], mine: list[Typed], ref_keys: list[str]) -> str:
-        """The name of the struct of reference values beside each row; null where no key matches."""
+        """The name of a column that is true where a key matches; the values that lookups use stand beside it."""
         if (reference, keys) in self.references.joined:
             return self.references.joined[reference, keys]
         name = f"__lookup_{len(self.references.joined)}"
         loaded = self.references.loaded[reference]
-        right = loaded.df.select(*[F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(ref_keys)], F.struct(*[F.col(f"`{c}`") for c in loaded.types]).alias(name))
-        right = F.broadcast(right) if self.references.rows(reference) <= BROADCAST_ROWS else right
-        left = self.df
-        for i, m in enumerate(mine):
-            left = left.withColumn(f"{name}_l{i}", m.col)
-        on = [F.col(f"{name}_l{i}") == F.col(f"{name}_{i}") for i in range(len(mine))]
-        self.df = left.join(right, on, "left").drop(*[f"{name}_{i}" for i in range(len(mine))], *[f"{name}_l{i}" for i in range(len(mine))])
+        values = [c for c in loaded.types if c in self.references.used.get(reference, ())]
+        theirs = [F.col(f"`{k}`").alias(f"{name}__key{i}") for i, k in enumerate(ref_keys)]
+        right = loaded.df.select(*theirs, *[F.col(f"`{c}`").alias(f"{name}_{c}") for c in values], F.lit(True).alias(name))
+        right = F.broadcast(right) if self.references.fits(reference) else right
+        left = self.df.withColumns({f"{name}__mine{i}": m.col for i, m in enumerate(mine)})
+        on = [F.col(f"{name}__mine{i}") == F.col(f"{name}__key{i}") for i in range(len(mine))]
+        self.df = left.join(right, on, "left").drop(*[f"{name}__{side}{i}" for i in range(len(mine)) for side in ("key", "mine")])
         self.references.joined[reference, keys] = name
         return name
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import python_text
@@ -32,32 +30,32 @@ def column_metrics(source: Loaded) -> DataFrame:
     return joined.withColumn("duplicate_count", F.col("non_null_count") - F.col("unique_count"))
 
 
+def _cells(source: Loaded) -> DataFrame:
+    """(field, value, ROW) of every value that isn't missing, as text."""
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), python_text(v).alias("value")) for n, v in source.typed().items()])
+    return source.df.select(ROW, F.explode(cells).alias("c")).select("c.field", "c.value", ROW).where("value is not null")
+
+
 def value_counts(source: Loaded) -> DataFrame:
     """(field, value, n, first): each field's distinct values as text, how often they occur, and where first."""
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), python_text(v).alias("value")) for n, v in source.typed().items()])
-    long = source.df.select(ROW, F.explode(cells).alias("c")).select("c.field", "c.value", ROW).where("value is not null")
-    return long.groupBy("field", "value").agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
+    return _cells(source).groupBy("field", "value").agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
 
 
 def top_values(source: Loaded, top: int = TOP) -> DataFrame:
     """(field, rank, value, n) of the most frequent values of text fields; ties go to the one met first.
 
-    Each field's candidates are cut to ``top`` per task before they meet, so no task holds a whole field's values.
+    Values are counted once; Spark cuts each task's candidates of a field to ``top`` before they meet.
     """
     texts = [n for n, t in source.types.items() if t == "string"]
     if not texts:
         return source.df.sparkSession.createDataFrame([], "field string, rank int, value string, n bigint")
     counts = value_counts(Loaded(source.df.select(*[F.col(f"`{n}`") for n in texts], ROW), {n: "string" for n in texts}))
-    best = []
-    for n in texts:
-        own = counts.where(F.col("field") == n).orderBy(F.desc("n"), F.asc("first")).limit(top)
-        best.append(own.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "first", "value", "n"))).alias("all")).select(F.lit(n).alias("field"), F.posexplode("all").alias("at", "x")).select("field", (F.col("at") + 1).alias("rank"), "x.value", "x.n"))
-    return reduce(lambda a, b: a.unionByName(b), best)
+    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "first")))
+    return best.where(F.col("rank") <= top).select("field", "rank", "value", "n")
 
 
 def sample_values(source: Loaded, samples: int = SAMPLES) -> dict[str, list[str]]:
-    """The first values of each field that aren't missing."""
-    out = {}
-    for n, v in source.typed().items():
-        out[n] = [r[0] for r in source.df.where(v.col.isNotNull()).orderBy(ROW).limit(samples).select(python_text(v)).collect()]
-    return out
+    """The first values of each field that aren't missing, found for all fields in one pass."""
+    at = F.row_number().over(Window.partitionBy("field").orderBy(ROW))
+    found = _cells(source).withColumn("at", at).where(F.col("at") <= samples).orderBy("field", "at").collect()
+    return {n: [r["value"] for r in found if r["field"] == n] for n in source.types}

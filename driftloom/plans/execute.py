@@ -18,7 +18,8 @@ from ..config.models import ConfigError
 from ..operators import jobs
 from ..sinks import reports
 from ..sinks.files import SinkError, precheck, write_csv
-from ..sources.scan import ROW, LoadError, load, resolve
+from ..sources.keep import keep
+from ..sources.scan import ROW, Loaded, LoadError, load, resolve
 from .migration import run_migration
 
 
@@ -84,7 +85,7 @@ def execute_migration(spark: SparkSession, path: str | Path, limit: int | None =
         precheck(config.outputs, to)
     run_id = _run_id(config.runtime)
     progress("load and route", 5)
-    r = run_migration(spark, config, base, None, limit, dry_run, run_id)
+    r = run_migration(spark, config, base, None, limit, dry_run, run_id, kept_rows=True)
     progress("outputs", 50)
     plan = r.plan
     written = []
@@ -132,11 +133,17 @@ def _final(r) -> str:
     return "completed_with_row_errors" if r.counts["error_rows"] else "success"
 
 
-def job_plan(spark: SparkSession, kind: str, config, base: Path, frames: dict[str, DataFrame] | None = None) -> tuple[jobs.JobPlan, dict[str, object], dict[str, Any]]:
-    """(plan, output settings by name, notes) of a relational job."""
-    limit = config.runtime.max_input_rows
+def job_plan(spark: SparkSession, kind: str, config, base: Path, frames: dict[str, DataFrame] | None = None) -> tuple[jobs.JobPlan, dict[str, object], dict[str, Any], dict[str, Loaded]]:
+    """(plan, output settings by name, notes, loaded sources by name) of a relational job."""
+
+    def read(name: str, source) -> Loaded:
+        """A source, computed once: a job reads it for its outputs, its errors, its skipped rows and its counts."""
+        loaded = load(spark, source, base, frames, name, None, config.runtime.max_input_rows)
+        loaded.df = keep(loaded.df)
+        return loaded
+
     if kind in ("merge", "union"):
-        sources = {n: load(spark, s, base, frames, n, None, limit) for n, s in config.inputs.items()}
+        sources = {n: read(n, s) for n, s in config.inputs.items()}
         keys = {n: s.keys for n, s in config.inputs.items()}
         for n, s in sources.items():
             if absent := [k for k in keys[n] if k not in s.types]:
@@ -146,20 +153,21 @@ def job_plan(spark: SparkSession, kind: str, config, base: Path, frames: dict[st
             kinds = [[s.types[k] for k in keys[n]] for n, s in sources.items()]
             if any(k != kinds[0] for k in kinds):
                 raise ConfigError(["merge keys must have the same types in all inputs"])
-            return jobs.merge(sources, keys, config.merge.base, ordered, config.merge.join_type), {"output": config.output}, {}
-        return jobs.union(sources, next(iter(keys.values())), config.union.columns), {"output": config.output}, {}
-    source = load(spark, config.input, base, frames, "input", None, limit)
+            return jobs.merge(sources, keys, config.merge.base, ordered, config.merge.join_type), {"output": config.output}, {}, sources
+        return jobs.union(sources, next(iter(keys.values())), config.union.columns), {"output": config.output}, {}, sources
+    source = read("input", config.input)
+    sources = {"input": source}
     if kind == "unpivot":
         u = config.unpivot
-        return jobs.unpivot(source, u.id_columns, u.variable_column, u.value_column, u.value_columns, u.drop_null_values, config.filters), {"output": config.output}, {}
+        return jobs.unpivot(source, u.id_columns, u.variable_column, u.value_column, u.value_columns, u.drop_null_values, config.filters), {"output": config.output}, {}, sources
     if kind == "aggregate":
-        return jobs.aggregate(source, config.aggregate.group_by, config.aggregate.columns), {"output": config.output}, {"group_by": config.aggregate.group_by}
+        return jobs.aggregate(source, config.aggregate.group_by, config.aggregate.columns), {"output": config.output}, {"group_by": config.aggregate.group_by}, sources
     if kind == "match":
         m = config.match
-        return jobs.match(source, m.keys, m.output_column, config.output.columns, m.id_prefix, m.id_padding, m.assign_singletons), {"output": config.output}, {"match_keys": m.keys, "match_output_column": m.output_column}
+        return jobs.match(source, m.keys, m.output_column, config.output.columns, m.id_prefix, m.id_padding, m.assign_singletons), {"output": config.output}, {"match_keys": m.keys, "match_output_column": m.output_column}, sources
     c = config.consolidate
     plan = jobs.consolidate(source, c.group_by, c.parent.columns, {k.name: k.columns for k in c.children})
-    return plan, {"parent": c.parent.output} | {k.name: k.output for k in c.children}, {"group_by": c.group_by}
+    return plan, {"parent": c.parent.output} | {k.name: k.output for k in c.children}, {"group_by": c.group_by}, sources
 
 
 def execute_job(spark: SparkSession, kind: str, path: str | Path, reports_dir: Path | None = None, page: bool = False) -> Outcome:
@@ -168,13 +176,14 @@ def execute_job(spark: SparkSession, kind: str, path: str | Path, reports_dir: P
     config = load_config(path, kind)
     base = path.parent
     to = partial(resolve, base=base)
-    plan, settings, notes = job_plan(spark, kind, config, base)
+    plan, settings, notes, read = job_plan(spark, kind, config, base)
     precheck(settings, to)
     run_id = _run_id(config.runtime)
-    errors, skipped = plan.errors.withColumn("run_id", F.lit(run_id)), plan.skipped.withColumn("run_id", F.lit(run_id))
+    errors, skipped = (keep(x).withColumn("run_id", F.lit(run_id)) for x in (plan.errors, plan.skipped))
     sources = config.inputs if kind in ("merge", "union") else {"input": config.input}
     n_errors, n_skipped = errors.count(), skipped.count()
-    rows = {n: d.count() for n, d in plan.outputs.items()}
+    outputs = {n: keep(d) for n, d in plan.outputs.items()}  # a sink's sort reads them twice
+    rows = {n: d.count() for n, d in outputs.items()}
     most = config.runtime.max_output_rows
     reason = message = None
     if n_errors:
@@ -185,12 +194,12 @@ def execute_job(spark: SparkSession, kind: str, path: str | Path, reports_dir: P
     written = []
     if not reason:
         for name, spec in settings.items():
-            df = plan.outputs[name]
+            df = outputs[name]
             order = [c for c in ("__order", "__input_order", ROW, "__at") if c in df.columns]
             types = {c: plan.types[name][c] for c in spec.columns}
             write_csv(df, types, order, to(spec.path), spec.encoding, spec.delimiter, spec.newline)
             written.append(name)
-    loaded = {n: load(spark, s, base, None, n, check=False).df.count() for n, s in sources.items()}
+    loaded = {n: read[n].df.count() for n in sources}
     counts = {"input_rows": sum(loaded.values()), "output_rows": 0 if reason else sum(rows.values()), "skipped_rows": n_skipped, "error_rows": n_errors}
     shown = [{"name": n, "path": s.path, "columns": s.columns, "rows": 0 if reason else rows[n], "file_written": n in written} for n, s in settings.items()]
     payload: dict[str, Any] = {

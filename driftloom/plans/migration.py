@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from ..config.models import Migration
 from ..expr.checks import CheckError, evaluate_check
-from ..expr.scope import CompileError, Scope, error
+from ..expr.scope import ERROR, CompileError, Scope, error
 from ..functions.text import Typed, python_text
 from ..operators.filters import skip_reason
-from ..operators.mapping import Mapper, References, derive, first_error
+from ..operators.mapping import Mapper, References, derive, first_error, values_used
 from ..operators.validate import validate
+from ..sources.keep import keep
 from ..sources.scan import ROW, Loaded, check_keys, load
 
 ERRORS = "run_id string, row_number bigint, stage string, output_name string, field string, rule string, message string, row_json string"
@@ -66,8 +67,11 @@ def _target(rule, config: Migration) -> tuple[str, str]:
     return rule.output or next(iter(config.outputs)), rule.field
 
 
-def compile_migration(spark: SparkSession, config: Migration, base: str | Path | None = None, frames: dict[str, DataFrame] | None = None, limit: int | None = None, check: bool = True) -> Plan:
-    """frames: sources given as DataFrames, by the name of the input or reference; others are read from their paths."""
+def compile_migration(spark: SparkSession, config: Migration, base: str | Path | None = None, frames: dict[str, DataFrame] | None = None, limit: int | None = None, check: bool = True, kept_rows: bool = False) -> Plan:
+    """frames: sources given as DataFrames, by the name of the input or reference; others are read from their paths.
+
+    ``kept_rows`` computes the routed rows once and keeps them, for a caller that needs several of the plan's frames.
+    """
     name, source = next(iter(config.inputs.items()))
     runtime = config.runtime
     loaded = load(spark, source, base, frames, name, limit, runtime.max_input_rows, check)
@@ -80,7 +84,7 @@ def compile_migration(spark: SparkSession, config: Migration, base: str | Path |
     fields = dict(scope.fields)
     rules = config.validations.input
     df = validate(loaded.df, rules, fields, {i: v.field.partition(".")[2] for i, v in enumerate(rules)}, references, "__invalid")
-    mapper = Mapper(df, scope, References(references, {n: c.key for n, c in config.references.items()}))
+    mapper = Mapper(df, scope, References(references, {n: c.key for n, c in config.references.items()}, values_used(config)))
     try:
         errors = derive(mapper, config.derived)
     except CompileError as e:
@@ -100,25 +104,34 @@ def compile_migration(spark: SparkSession, config: Migration, base: str | Path |
         cols = {c: Typed(F.col(f"__row_{j}")[c], t) for c, t in types[out].items()}
         mapper.df = validate(mapper.df, own, cols, {i: _target(v, config)[1] for i, v in enumerate(own)}, references, f"__invalid_{j}")
     routed = mapper.df
-    outputs, parts = {}, [_failures(routed, F.col("__invalid"), "input_validation", None, _json(fields)), _failures(routed, F.when(F.col("__failed").isNotNull(), F.array("__failed")), "mapping", None, _json(fields))]
+    routed = keep(mapper.df) if kept_rows else mapper.df
+    outputs: dict[str, DataFrame] = {}
+    parts: list[tuple[Column, str, str | None]] = [(F.col("__invalid"), "input_validation", None), (F.when(F.col("__failed").isNotNull(), F.array("__failed")), "mapping", None)]
+    shown = _json(fields)
     for j, out in enumerate(config.outputs):
         made = {c: Typed(F.col(f"__row_{j}")[c], t) for c, t in types[out].items()}
         fine = kept & F.col(f"__failed_{j}").isNull()
         good = fine & (F.size(f"__invalid_{j}") == 0)
         outputs[out] = routed.where(good).select(*[v.col.alias(c) for c, v in made.items()], ROW)
-        parts.append(_failures(routed, F.when(F.col(f"__failed_{j}").isNotNull(), F.array(f"__failed_{j}")), "mapping", out, _json(fields)))
-        parts.append(_failures(routed, F.when(fine, F.col(f"__invalid_{j}")), "output_validation", out, _json(made, False)))
-    failures = parts[0]
-    for k, p in enumerate(parts):
-        tagged = p.withColumn("__order", F.lit(k))
-        failures = tagged if k == 0 else failures.unionByName(tagged)
+        parts.append((F.when(F.col(f"__failed_{j}").isNotNull(), F.array(f"__failed_{j}")), "mapping", out))
+        parts.append((F.when(fine, F.col(f"__invalid_{j}")), "output_validation", out))
+        shown = F.when(F.col("e.kind") == len(parts) - 1, _json(made, False)).otherwise(shown)
+    failures = _failures(routed, parts, shown)
     skipped = routed.where(F.col("__skipped").isNotNull()).select(F.lit("").alias("run_id"), F.col(ROW).alias("row_number"), F.col("__skipped").alias("reason"), _json(fields).alias("row_json"))
     return Plan(config, routed, fields, outputs, failures, skipped, types, references)
 
 
-def _failures(df: DataFrame, array: Column, stage: str, output: str | None, row: Column) -> DataFrame:
-    exploded = df.select(F.col(ROW).alias("row_number"), F.posexplode(array).alias("__at", "e"), row.alias("row_json"))
-    return exploded.select(F.lit("").alias("run_id"), "row_number", F.lit(stage).alias("stage"), F.lit(output).cast("string").alias("output_name"), "e.field", "e.rule", "e.message", "row_json", "__at")
+def _failures(df: DataFrame, parts: list[tuple[Column, str, str | None]], row: Column) -> DataFrame:
+    """All errors of all rows by one pass: the arrays of every kind are joined into one, which is exploded once."""
+    empty = F.array().cast(f"array<struct<kind:int,at:int,error:{ERROR}>>")
+
+    def tagged(array: Column, kind: int) -> Column:
+        return F.coalesce(F.transform(array, lambda e, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), e.alias("error"))), empty)
+
+    found = F.flatten(F.array(*[tagged(a, k) for k, (a, _, _) in enumerate(parts)]))
+    stage, output = (F.element_at(F.array(*[F.lit(p[n]).cast("string") for p in parts]), F.col("e.kind") + 1) for n in (1, 2))
+    one = df.withColumn("__errors", found).where(F.size("__errors") > 0).select("*", F.explode("__errors").alias("e"))
+    return one.select(F.lit("").alias("run_id"), F.col(ROW).alias("row_number"), stage.alias("stage"), output.alias("output_name"), "e.error.field", "e.error.rule", "e.error.message", row.alias("row_json"), F.col("e.at").alias("__at"), F.col("e.kind").alias("__order"))
 
 
 def count_routes(plan: Plan) -> dict[str, int]:
@@ -137,9 +150,9 @@ def count_routes(plan: Plan) -> dict[str, int]:
     return {k: int(row[k] or 0) for k in aggs}
 
 
-def run_migration(spark: SparkSession, config: Migration, base: str | Path | None = None, frames: dict[str, DataFrame] | None = None, limit: int | None = None, dry_run: bool = False, run_id: str = "") -> Result:
+def run_migration(spark: SparkSession, config: Migration, base: str | Path | None = None, frames: dict[str, DataFrame] | None = None, limit: int | None = None, dry_run: bool = False, run_id: str = "", kept_rows: bool = False) -> Result:
     """Compile, count, and apply the policies. A fatal stop leaves all outputs empty; errors up to the stop are kept."""
-    plan = compile_migration(spark, config, base, frames, limit)
+    plan = compile_migration(spark, config, base, frames, limit, kept_rows=kept_rows)
     n = count_routes(plan)
     policy = config.error_handling
     names = list(plan.outputs)

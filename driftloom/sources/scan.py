@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import cast, integral
 from ..functions.normalize import normalize
 from ..functions.text import SPARK_TYPES, Typed, declared_type
+from .keep import keep
 
 ROW = "__row_number"
 # Texts of a CSV field that stand for a missing value.
@@ -44,11 +45,11 @@ def resolve(path: str, base: str | Path | None) -> str:
     """Relative paths start at the configuration's folder; paths with a scheme and absolute ones stay."""
     if "://" in path or path.startswith("/"):
         return path
-    return str((Path(base or ".") / path).resolve())
+    return str((Path(base or ".") / path).resolve()) + ("/" if path.endswith("/") else "")
 
 
 def spark_encoding(name: str) -> str:
-    return {"utf-8-sig": "utf-8", "utf_8_sig": "utf-8", "utf8": "utf-8", "cp932": "windows-31j"}.get(name.lower(), name)
+    return {"utf-8-sig": "utf-8", "utf_8_sig": "utf-8", "utf8": "utf-8", "cp932": "windows-31j", "latin-1": "iso-8859-1", "latin1": "iso-8859-1", "ascii": "us-ascii"}.get(name.lower(), name)
 
 
 def read_header(path: str, encoding: str = "utf-8-sig", delimiter: str = ",") -> list[str]:
@@ -60,35 +61,55 @@ def read_header(path: str, encoding: str = "utf-8-sig", delimiter: str = ",") ->
         raise LoadError(f"cannot read CSV header: {path}: {e}") from e
 
 
-def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
+def numbered(df: DataFrame, name: str = ROW, scanned: bool = False) -> DataFrame:
     """df with consecutive row numbers from 1 in its partitions' order.
 
-    Partitions are counted first (one number each comes to the driver), so no task sees more than its own rows.
+    Partitions are counted first (one number each comes to the driver), so no task sees more than its own rows. The
+    rows are kept before they are counted, as a plan that runs twice may deal them out in another way each time; only
+    files that are just ``scanned`` have the same partitions in every run. A partition that wasn't counted is an error.
     """
     tagged = df.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
-    counts = sorted((r["__part"], r["count"]) for r in tagged.groupBy("__part").count().collect())
-    if len(counts) <= 1:
-        return tagged.withColumn(name, F.col("__at") - F.lit(((counts[0][0] if counts else 0)) << 33).cast("bigint") + 1).drop("__part", "__at")
+    tagged = tagged if scanned else keep(tagged)
     total, before = 0, []
-    for part, n in counts:
+    for part, n in sorted((r["__part"], r["count"]) for r in tagged.groupBy("__part").count().collect()):
         before.append((part, total - (part << 33) + 1))
         total += n
     shifts = F.broadcast(df.sparkSession.createDataFrame(before, "__part int, __shift bigint"))  # one row for each partition
-    return tagged.join(shifts, "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+    shift = F.coalesce("__shift", F.raise_error(F.lit("a partition wasn't counted before its rows were numbered")).cast("bigint"))
+    return tagged.join(shifts, "__part", "left").withColumn(name, F.col("__at") + shift).drop("__part", "__at", "__shift")
 
 
-def raw_csv(spark: SparkSession, path: str, encoding: str = "utf-8-sig", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
+# Character sets in which a line end and a quotation mark are bytes of their own, as in ASCII.
+ASCII_LIKE = ["utf-8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "windows-1252", "cp1252", "windows-31j", "shift_jis", "euc-jp"]
+
+
+def needs_one_task(spark: SparkSession, path: str, reader, encoding: str) -> bool:
+    """Whether a CSV file must be read whole by one task: some line has an odd number of quotation marks.
+
+    Then a line end may stand inside quotes. Files that fill a single task anyway aren't looked at.
+    """
+    if spark_encoding(encoding).lower() not in ASCII_LIKE:
+        return True
+    if reader.option("multiLine", False).csv(path)._jdf.queryExecution().toRdd().getNumPartitions() <= 1:
+        return True
+    marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(marks % 2 == 1).isEmpty()
+
+
+def raw_csv(spark: SparkSession, path: str, encoding: str = "utf-8-sig", delimiter: str = ",", multi_line: bool | None = None) -> DataFrame:
     """All columns as text, missing markers as null, with ROW.
 
-    Files with line ends inside quotes need ``multi_line``, which reads a file in one task; files without may be split.
+    Files with line ends inside quotes need ``multi_line``, which reads a file in one task; files without are split
+    among tasks. None finds out which it is, in one pass over the lines.
     """
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", spark_encoding(encoding)).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", spark_encoding(encoding)).option("quote", '"').option("escape", '"').option("inferSchema", False).option("mode", "PERMISSIVE")
     try:
-        df = reader.csv(path)
+        whole = needs_one_task(spark, path, reader, encoding) if multi_line is None else multi_line
+        df = reader.option("multiLine", whole).csv(path)
     except Exception as e:
         raise LoadError(f"cannot read CSV: {path}: {str(e).splitlines()[0]}") from e
     cleaned = df.select(*[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c.lstrip("﻿")) for c in df.columns])
-    return numbered(cleaned)
+    return numbered(cleaned, scanned=True)
 
 
 def raw_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +117,7 @@ def raw_parquet(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     if len(df.inputFiles()) == 1:
         return df.select("*", (F.col("_metadata.row_index") + 1).alias(ROW))
-    return numbered(df)
+    return numbered(df, scanned=True)
 
 
 def raw_source(spark: SparkSession, source, base: str | Path | None, frames: dict[str, DataFrame] | None = None, name: str = "") -> DataFrame:
@@ -184,7 +205,8 @@ def check_keys(loaded: Loaded, name: str, keys: list[str]) -> None:
     nulls = [r[0] for r in loaded.df.where(missing).orderBy(ROW).select(ROW).limit(5).collect()]
     if nulls:
         raise LoadError(f"{name}: key is missing at rows: {', '.join(map(str, nulls))}")
-    twice = loaded.df.groupBy(*cols).agg(F.count("*").alias("n"), F.min(ROW).alias("first"), F.max(ROW).alias("last"))
-    found = twice.where("n > 1").orderBy("first").limit(5).collect()
-    if found:
-        raise LoadError(f"{name}: duplicate key at rows: {', '.join(str(x) for r in found for x in (r['first'], r['last']))}")
+    if loaded.df.groupBy(*cols).count().where("count > 1").isEmpty():
+        return
+    twice = loaded.df.groupBy(*cols).count().where("count > 1").drop("count")
+    found = [r[0] for r in loaded.df.join(twice, keys, "left_semi").orderBy(ROW).select(ROW).limit(5).collect()]
+    raise LoadError(f"{name}: duplicate key at rows: {', '.join(map(str, found))}")

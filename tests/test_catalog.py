@@ -32,9 +32,14 @@ def test_query_matches_duckdb(spark, name):
     assert shown(tuple(r[c] for c in columns) for r in got.collect()) == shown(tuple(r[i] for i in order) for r in wanted.fetchall())
 
 
-def test_nfkc_query(spark):
-    got = catalog.queries()["normalize_nfkc"](spark, str(DATA))
-    assert got.where("name like 'ABC%123'").count() == got.count() > 0
+def test_error_reports_read_their_input_once(spark):
+    plan = catalog.validate_rules(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_lookups_read_the_columns_they_use(spark):
+    plan = catalog.flagship(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "o_totalprice" not in plan and "o_orderpriority" in plan
 
 
 def test_filters_and_columns_reach_the_scan(spark):

@@ -3,11 +3,13 @@ import json
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from driftloom import cli
 from driftloom.config.loader import kind_of, load
 from driftloom.config.models import ConfigError, Input, build
 from driftloom.plans.execute import execute_job, execute_migration, run_all
+from driftloom.sinks import files
 from driftloom.sinks.files import SinkError, atomic
 from driftloom.sources import scan
 from driftloom.tools import design, generate, preflight, wizards, xlsx
@@ -223,3 +225,45 @@ def test_command_line(tmp_path, capsys, spark):
     assert e.value.code == 2
     payload = cli.profile_payload(spark, tmp_path / "m.yml")
     assert payload["rows"] == 3 and next(c for c in payload["columns"] if c["field"] == "id")["top_values"][0] == {"value": "a", "count": 1}
+
+
+def test_frames_from_shuffles_keep_all_their_rows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(200_000).select("id", *[(F.col("id") * k).cast("string").alias(f"l{k}") for k in range(1, 12)])
+        right = spark.range(200_000).select("id", *[F.repeat(F.lit("x"), k).alias(f"r{k}") for k in range(1, 12)])
+        for df in (left.join(right, "id"), left.groupBy("id").agg(*[F.max(f"l{k}").alias(f"m{k}") for k in range(1, 12)]), left.repartition("id")):
+            got = scan.numbered(df).agg(F.count("*"), F.count_distinct(scan.ROW), F.min(scan.ROW), F.max(scan.ROW)).first()
+            assert tuple(got) == (200_000, 200_000, 1, 200_000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_files_are_split_unless_quotes_span_lines(spark, tmp_path):
+    lines = [f'{i},"a, {i}",{"x" * 60}' for i in range(150_000)]
+    put(tmp_path / "a.csv", "k,l,m\n" + "\n".join(lines) + "\n")
+    lines[70_000] = '70000,"a,\n70000",y'
+    put(tmp_path / "b.csv", "k,l,m\n" + "\n".join(lines) + "\n")
+    one, two = (scan.raw_csv(spark, str(tmp_path / f)) for f in ("a.csv", "b.csv"))
+    assert one.rdd.getNumPartitions() > 1 == two.rdd.getNumPartitions()
+    for df in (one, two):
+        assert df.where(F.col(scan.ROW) - 1 == F.col("k").cast("long")).count() == 150_000
+    assert two.where("l like '%\n%'").count() == 1
+
+
+def test_first_five_rows_of_repeated_keys_are_named(spark, tmp_path):
+    put(tmp_path / "a.csv", "k\n1\n2\n1\n1\n3\n2\n1\n")
+    with pytest.raises(scan.LoadError, match="rows: 1, 2, 3, 4, 6$"):
+        scan.check_keys(scan.load(spark, source("a.csv"), tmp_path), "r", ["k"])
+
+
+def test_targets_under_urls_and_in_folders(spark, tmp_path):
+    df = spark.createDataFrame([(2, "ä "), (1, None)], "n long, s string")
+    kinds = {"n": "integer", "s": "string"}
+    files.write_csv(df, kinds, ["n"], f"file://{tmp_path}/x/one.csv", "utf-8-sig", newline="\r\n")
+    assert (tmp_path / "x/one.csv").read_bytes() == "﻿n,s\r\n1,\r\n2,ä \r\n".encode()
+    assert files.target_exists(f"file://{tmp_path}/x/one.csv") and not files.target_exists(f"file://{tmp_path}/x/two.csv")
+    at = scan.resolve("out/", tmp_path)
+    assert at.endswith("/out/")
+    files.write_csv(df.coalesce(1), kinds, ["n"], at, "latin-1", newline="\r\n")
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))).replace(b"n,s\r\n", b"") == "1,\r\n2,ä \r\n".encode("latin-1")
