@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,6 +12,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.keep import checkpoint_folder, remove_at_exit
+
 #: The repository folder that holds the package.
 ROOT = Path(__file__).resolve().parents[2]
 #: A key is hot when it holds more than 1 / HOT_SHARE of all rows, so at most HOT_SHARE keys are hot.
@@ -18,37 +21,36 @@ HOT_SHARE = 2000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make sure that a checkpoint folder is set and that Python workers can import this package.
+    """Set the checkpoint folder (see ``checkpoint_folder``) and send the package to the Python workers.
 
-    The folder is the cluster's own (``spark.checkpoint.dir``); only where that is unset, as in local tests, a
-    temporary one is made.
+    A Python function takes the list of what was sent along when it is handed to Spark, so this comes first.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftloom-"))
-    _ship(context)
+    checkpoint_folder(spark)
+    _ship(spark.sparkContext)
     return spark
 
 
 def _ship(context: SparkContext) -> None:
-    """Send the package to the workers where neither their path nor their working folder has it."""
-    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(ROOT) in [*on_path, os.getcwd()] or (Path.cwd() / "driftloom").exists() or getattr(context, "_driftloom_shipped", False):
+    """Send the package once a session; what the workers' own path holds doesn't matter then."""
+    if getattr(context, "_driftloom_shipped", False):
         return
-    archive = Path(tempfile.mkdtemp(prefix="driftloom-")) / "driftloom.zip"
+    folder = tempfile.mkdtemp(prefix="driftloom-")  # the driver's own: executors fetch the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "driftloom.zip"
     with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted((ROOT / "driftloom").rglob("*.py")):
-            out.write(path, path.relative_to(ROOT))
+        for path in sorted((ROOT / "driftloom").rglob("*")):
+            if path.is_file() and path.suffix != ".pyc":
+                out.write(path, path.relative_to(ROOT))
     context.addPyFile(str(archive))
     context._driftloom_shipped = True
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the checkpoint folder, which driver and executors share."""
-    prepare(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    stamp = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{base}/{name}-{stamp}"
+    """A new folder that driver and executors share; it lives as long as the driver's process, as results are read from it."""
+    base = checkpoint_folder(prepare(spark))
+    path = f"{base}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
+    remove_at_exit(spark, path)
+    return path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,26 +72,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(rows: DataFrame, keys: tuple[str, ...], n: int) -> DataFrame:
-    """About n rows (at most 3 n / 2), or all if there are no more: those whose hash of keys is smallest.
-
-    The hash bound comes from the number of rows, so tasks hand on the sample alone, whatever their number; the limit
-    only binds where many rows share all keys.
-    """
-    total = rows.count()
-    if total <= n:
-        return rows
-    bound = int(n * 1.1 / total * 2**63)
-    return rows.where(F.xxhash64(*keys).bitwiseAND((1 << 63) - 1) < bound).limit(3 * n // 2)
-
-
-#: Keys that may be broadcast (16 bytes each); more are met in a shuffled join.
+#: Keys that may be broadcast (32 bytes each); more are met in a shuffled join.
 KEYS_SENT = 1_000_000
+#: The type of ``row_key``.
+KEY = "struct<a:long,b:long>"
 
 
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
-    """A hash of a document's id and text; rows that share it are repeats of one another."""
-    return F.xxhash64(F.col(id_column), F.col(text_column))
+    """128 bits of hash of a document's id and text; rows that share them are repeats of one another."""
+    both = F.col(id_column), F.col(text_column)
+    return F.struct(F.xxhash64(*both).alias("a"), F.xxhash64(F.lit(1), *both).alias("b"))
 
 
 def without(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

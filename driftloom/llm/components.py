@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import cut, join_hot, prepare
 
 _EDGES = "a long, b long"
 
@@ -52,6 +52,7 @@ def components(links: DataFrame) -> DataFrame:
     Self links are dropped and repeated ones count once. Each round is cut through the checkpoint folder. The number of rounds grows as
     the logarithm of the longest path, squared at worst.
     """
+    prepare(links.sparkSession)
     down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = cut(down.mapInArrow(_forest, _EDGES))
     mark = None

@@ -26,17 +26,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, spread, table
+from .common import cut, prepare, spread, table
 
 SEQ_LEN = 1024
 CLOSING_ID = 0
 #: Text bytes that are encoded at a time; small, as packing often runs where workers still hold what others left.
 STEP = 3 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Names of ``pack``; columns of its input that have them are given up.
+_OWN = ("sequence_id", "offset", "_part")
 
 
-def pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, closing_id: int = CLOSING_ID) -> DataFrame:
-    """One row per piece: its document, the ids before it there, its length and crc32, and the document's ids in all."""
+def pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, closing_id: int = CLOSING_ID, with_ids: bool = False) -> DataFrame:
+    """One row per piece: its document, the ids before it there, its length and crc32, and the document's ids in all.
+
+    ``with_ids`` adds the ids themselves, as ``sequences`` needs them.
+    """
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
@@ -52,9 +58,14 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, closing_id:
                 length = np.minimum(seq_len, total[row] - start)
                 begin = at[:-1][row] + start
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(begin, begin + length, strict=True)]
-                yield pa.RecordBatch.from_arrays([x.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(total[row])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                cols = [x.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(total[row])]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def patterns(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[tuple[int, ...], int]]:
@@ -101,10 +112,13 @@ def _places(packs: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
 
 
 def pack(cut_pieces: DataFrame, seq_len: int = SEQ_LEN, keys: tuple[str, ...] = ("doc_id", "start", "ids_crc32")) -> DataFrame:
-    """Add sequence_id and offset to rows with a ``length`` of 1 to ``seq_len``; sequences have no gaps."""
-    ordered = cut(cut_pieces).repartitionByRange("length", *keys).sortWithinPartitions("length", *keys)
-    ranked = cut(ordered.withColumn("part", F.spark_partition_id()))
-    counts = sorted((r["length"], r["part"], r["count"]) for r in ranked.groupBy("length", "part").count().collect())
+    """Add sequence_id and offset to rows with a ``length`` of 1 to ``seq_len``; sequences have no gaps.
+
+    Other columns are carried; one that has a name of the two is replaced.
+    """
+    ordered = cut(cut_pieces.drop(*_OWN)).repartitionByRange("length", *keys).sortWithinPartitions("length", *keys)
+    ranked = cut(ordered.withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["length"], r["_part"], r["count"]) for r in ranked.groupBy("length", "_part").count().collect())
     histogram: dict[int, int] = defaultdict(int)
     before: dict[tuple[int, int], int] = {}
     for length, part, n in counts:
@@ -120,35 +134,25 @@ def pack(cut_pieces: DataFrame, seq_len: int = SEQ_LEN, keys: tuple[str, ...] =
             sequence, offset = np.empty((2, len(lengths)), np.int64)
             bounds = [0, *(np.flatnonzero(np.diff(lengths)) + 1), len(lengths)] if len(lengths) else [0]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                length, part = int(lengths[a]), batch.column("part")[int(a)].as_py()
+                length, part = int(lengths[a]), batch.column("_part")[int(a)].as_py()
                 rank = before[part, length] + seen[length] + np.arange(b - a)
                 seen[length] += int(b - a)
                 first, base, at = places[length]
                 k = np.searchsorted(first, rank, "right") - 1
                 sequence[a:b], offset[a:b] = base[k] + rank - first[k], at[k]
-            keep = [n for n in batch.schema.names if n != "part"]
+            keep = [n for n in batch.schema.names if n != "_part"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "part")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_part")
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
-def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, closing_id: int = CLOSING_ID) -> DataFrame:
-    """The packed sequences themselves: (sequence_id, ids, starts), pieces joined back to the ids of their documents."""
+def sequences(packed: DataFrame) -> DataFrame:
+    """The packed sequences themselves, (sequence_id, ids, starts), of pieces that were made ``with_ids`` and then packed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer)
-        for batch in batches:
-            for x in tokens.steps(batch, "text", STEP):
-                ids, at = encoder.encode(x.column("text"))
-                for row in range(x.num_rows):
-                    own = np.append(ids[at[row] : at[row + 1]], closing_id).astype(np.int32)
-                    bits = [own[i : i + seq_len] for i in range(0, len(own), seq_len)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.column("doc_id")[row].as_py()] * len(bits), pa.int64()), pa.array([i * seq_len for i in range(len(bits))], pa.int64()), pa.array(bits, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, ids array<int>")
-    placed = packed.select("doc_id", "start", "sequence_id", "offset").join(own, ["doc_id", "start"])
-    rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("x"))  # seq_len ids at most
+    Each piece has its ids with it, so documents without an id and documents that share one come out whole.
+    """
+    rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("x"))  # seq_len ids at most
     return rows.select("sequence_id", F.flatten("x.ids").alias("ids"), F.col("x.offset").alias("starts"))
 
 

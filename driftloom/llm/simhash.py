@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, prepare, row_key, spread, table, without
+from .common import KEY, cut, join_hot, prepare, row_key, spread, table, without
 from .components import components
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+    return rows.mapInArrow(run, f"doc_id long, key {KEY}, fp long")
 
 
 def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:

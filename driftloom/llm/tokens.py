@@ -8,6 +8,7 @@ spacing (runs of spaces, spaces beside line ends, at the start or at the end) ar
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -37,6 +38,15 @@ def _flat(encodings: list) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
 
+def may_be_cut(settings: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the usual word pattern and nothing that reaches over a space."""
+    before, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    whole = settings.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    added = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in settings.get("added_tokens", []))
+    return plain and whole and added and settings.get("truncation") is None and settings.get("padding") is None
+
+
 class Encoder:
     """``encode(texts)`` gives all ids in one array and the offsets of each text in it.
 
@@ -48,6 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = may_be_cut(json.loads(self.tokenizer.to_str()))
         #: Whether a token begins with a space: of a chunk's tokens, the first alone does.
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t.startswith("\u0120")]] = True
@@ -101,6 +112,9 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if not self.cuts:
+            ids, n = self._encode(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(n)])
         odd = pc.match_substring_regex(texts, _UNCUT).to_numpy(zero_copy_only=False)
         if odd.any():
             return self._mixed(texts, odd)

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +34,9 @@ SEGMENT, CHUNK, MIN_BYTES = 16 << 10, 8 << 10, 0
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_RECORDS = "record_id string, type string, page_id long, uri string, refers_to long, digest string, length long, origin string, segment int, total long, block binary"
-_NAMES = [x.split()[0] for x in _RECORDS.split(", ")]
+#: What a parsed record is: a whole page, or (with ``part``) a segment of one.
+_PAGE = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_PARSED = f"key string, {_PAGE}, part struct<type:string,page_id:long,uri:string,digest:string,segment:int,total:long,block:binary>"
 
 
 def _head(kind: str, fields: list[tuple[str, object]], length: int) -> bytes:
@@ -59,8 +62,10 @@ def dechunk(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def _name(page: int | None, digest: str) -> str:
-    return f"<urn:page:{'none' if page is None else page}:{digest}>"
+def _name(page: int | None, digest: str, segment: int = 1) -> str:
+    """A record's id: a UUID of the page, its payload and the segment."""
+    text = f"page:{'none' if page is None else page}:{digest}:{segment}"
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(text.encode()).digest()[:16], version=5)}>"
 
 
 def page_records(page: int | None, url: str | None, payload: bytes, refers: int | None, segment: int, chunk: int) -> Iterator[bytes]:
@@ -79,7 +84,7 @@ def page_records(page: int | None, url: str | None, payload: bytes, refers: int
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     yield _head("response", [*own, ("WARC-Segment-Number", 1)], len(parts[0])) + parts[0]
     for k, part in enumerate(parts[1:], 2):
-        later = [("WARC-Record-ID", f"<urn:page:{page}:{digest}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", _name(page, digest)), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None)]
+        later = [("WARC-Record-ID", _name(page, digest, k)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", _name(page, digest)), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None)]
         yield _head("continuation", later, len(part)) + part
 
 
@@ -129,116 +134,139 @@ def _number(text: str | None) -> int | None:
     return None if text is None else int(text)
 
 
-def _record(f: dict[str, str], block: bytes) -> tuple:
-    length = None
-    if f.get("warc-type") == "revisit":
-        head = _fields(block.partition(b"\r\n\r\n")[0].split(b"\r\n"))
-        length = _number(head.get("content-length"))
-    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    return (f.get("warc-record-id"), f.get("warc-type"), _number(f.get("warc-page-id")), f.get("warc-target-uri"), _number(f.get("warc-refers-to-page-id")), digest, length, f.get("warc-segment-origin-id"), _number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length")), block)
-
-
 #: Bytes of blocks that are handed on at once, and rows that are decoded at once.
 HANDED, DECODED = 4 << 20, 128
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (file, value), in order, to records. State between lines: header lines, or the block so far."""
-    file, head, fields, block, left = None, [], None, [], 0
-    for batch in batches:
-        out: list[tuple] = []
-        size = 0
-        names = batch.column("file").to_pylist()
-        for name, value in zip(names, batch.column("value"), strict=True):
-            if name != file:
-                if fields is not None:
-                    raise ValueError(f"{file} ends inside a record")
-                file, head = name, []
-            line = value.as_buffer().to_pybytes()
-            if fields is None:
-                line = line.removesuffix(b"\r")
-                if line:
-                    head.append(line)
-                    continue
-                if not head:
-                    continue  # between records
-                if not head[0].startswith(b"WARC/"):
-                    raise ValueError(f"{file}: a record begins with {head[0][:40]!r}")
-                fields, head, block = _fields(head), [], []
-                left = int(fields["content-length"])
-                if left:
-                    continue
-            else:
-                block.append(line[:left] if len(line) > left else line)
-                left -= len(line)
-                if left > 0:
-                    block.append(b"\n")
-                    left -= 1
-            if left <= 0 and fields is not None:
-                if fields.get("warc-type") in ("response", "revisit", "continuation"):
-                    out.append(_record(fields, b"".join(block)))
-                    size += len(out[-1][-1])
-                fields, block = None, []
-                if size > HANDED:
-                    yield _rows(out)
-                    out, size = [], 0
-        yield _rows(out)
-    if fields is not None:
-        raise ValueError(f"{file} ends inside a record")
+def _page(key: str, kind: str, page: int | None, uri: str | None, digest: str | None, refers: int | None, block: bytes, with_payload: bool) -> tuple:
+    """A page from its whole block: the transfer framing is decoded and the digest checked."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    said = _fields(head.split(b"\r\n"))
+    if kind != "response":
+        return key, page, uri, _number(said.get("content-length")), digest, kind, refers, None, None
+    payload = dechunk(body) if said.get("transfer-encoding") == "chunked" else body
+    found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if digest not in (None, found):
+        raise ValueError(f"{key}: the payload has another digest")
+    return key, page, uri, len(payload), found, kind, refers, payload if with_payload else None, None
+
+
+def _record(f: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    key, kind, segment = f.get("warc-record-id"), f.get("warc-type"), _number(f.get("warc-segment-number"))
+    page, uri, digest = _number(f.get("warc-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if segment is None and kind != "continuation":
+        return _page(key, kind, page, uri, digest, _number(f.get("warc-refers-to-page-id")), block, with_payload)
+    part = {"type": kind, "page_id": page, "uri": uri, "digest": digest, "segment": segment, "total": _number(f.get("warc-segment-total-length")), "block": block}
+    return f.get("warc-segment-origin-id") or key, None, None, None, None, None, None, None, part
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
+def _parse(with_payload: bool):
+    """Lines (file, value), in order, to parsed records. State between lines: header lines, or the block so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, head, fields, block, left = None, [], None, [], 0
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            names = batch.column("file").to_pylist()
+            for name, value in zip(names, batch.column("value"), strict=True):
+                if name != file:
+                    if fields is not None:
+                        raise ValueError(f"{file} ends inside a record")
+                    file, head = name, []
+                line = value.as_buffer().to_pybytes()
+                if fields is None:
+                    line = line.removesuffix(b"\r")
+                    if line:
+                        head.append(line)
+                        continue
+                    if not head:
+                        continue  # between records
+                    if not head[0].startswith(b"WARC/"):
+                        raise ValueError(f"{file}: a record begins with {head[0][:40]!r}")
+                    fields, head, block = _fields(head), [], []
+                    left = int(fields["content-length"])
+                    if left:
+                        continue
+                else:
+                    block.append(line[:left] if len(line) > left else line)
+                    left -= len(line)
+                    if left > 0:
+                        block.append(b"\n")
+                        left -= 1
+                if left <= 0 and fields is not None:
+                    if fields.get("warc-type") in ("response", "revisit", "continuation"):
+                        whole = b"".join(block)
+                        out.append(_record(fields, whole, with_payload))
+                        size += len(whole)
+                    fields, block = None, []
+                    if size > HANDED:
+                        yield _rows(out, _PARSED)
+                        out, size = [], 0
+            yield _rows(out, _PARSED)
+        if fields is not None:
+            raise ValueError(f"{file} ends inside a record")
+
+    return run
+
+
+def _rows(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    schema = _arrow(columns)
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+@cache
+def _arrow(columns: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    cols = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[d.split()[1]]) for c, d in zip(cols, _RECORDS.split(", "), strict=True)], _NAMES)
+    names = columns.partition(", part struct<")
+    flat = [pa.field(*(f(x) for f, x in zip((str, kinds.get), c.split(), strict=True))) for c in names[0].split(", ")]
+    inner = [pa.field(*(f(x) for f, x in zip((str, kinds.get), c.split(":"), strict=True))) for c in names[2].removesuffix(">").split(",") if c]
+    return pa.schema([*flat, pa.field("part", pa.struct(inner))] if inner else flat)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of gzip archives: header fields and the block as it is."""
+def _joined(with_payload: bool):
+    """Put the segments of a page in order, check the total, and decode the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, DECODED) for b in batches for i in range(0, max(1, b.num_rows), DECODED)):
+            out = []
+            for row in batch.to_pylist():
+                groups: dict[int, list[dict]] = {}
+                for p in row["parts"]:
+                    groups.setdefault(p["segment"] or 1, []).append(p)
+                copies = len(groups.get(1, []))  # rows that repeat a page repeat all its records
+                if sorted(groups) != list(range(1, len(groups) + 1)) or any(len(g) != copies for g in groups.values()):
+                    raise ValueError(f"{row['key']}: segments {sorted(groups)} are not complete")
+                block = b"".join(groups[k][0]["block"] for k in sorted(groups))
+                total = groups[len(groups)][0]["total"]
+                if (len(groups) > 1) != (total is not None) or total not in (None, len(block)):
+                    raise ValueError(f"{row['key']}: {len(block)} bytes where the last segment says {total}")
+                first = groups[1][0]
+                out += [_page(row["key"], first["type"], first["page_id"], first["uri"], first["digest"], None, block, with_payload)[1:-1]] * copies
+            yield _rows(out, _PAGE)
+
+    return run
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """(page_id, uri, payload_bytes, payload_digest, record_type, refers_to, payload) of gzip archives.
+
+    A revisit's payload is null, as all are without ``with_payload``. Archives are parsed once: what comes of it, the
+    pages and the segments that are still to be joined, is stored. Of repeated rows a group holds one page's segments.
+    """
+    prepare(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(_parse, _RECORDS)
-
-
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put segments in order, check the total, decode the transfer framing and check the digest."""
-    for batch in (b.slice(i, DECODED) for b in batches for i in range(0, max(1, b.num_rows), DECODED)):
-        out = []
-        for row in batch.to_pylist():
-            parts = sorted(row["parts"], key=lambda p: p["segment"] or 1)
-            groups: dict[int, list[dict]] = {}
-            for p in parts:
-                groups.setdefault(p["segment"] or 1, []).append(p)
-            copies = len(groups.get(1, []))  # rows that repeat a page repeat all its records
-            if sorted(groups) != list(range(1, len(groups) + 1)) or any(len(g) != copies for g in groups.values()):
-                raise ValueError(f"{row['key']}: segments {sorted(groups)} are not complete")
-            block = b"".join(groups[k][0]["block"] for k in sorted(groups))
-            total = groups[len(groups)][0]["total"]
-            if (len(groups) > 1) != (total is not None) or total not in (None, len(block)):
-                raise ValueError(f"{row['key']}: {len(block)} bytes where the last segment says {total}")
-            first = groups[1][0]
-            head, _, body = block.partition(b"\r\n\r\n")
-            payload = dechunk(body) if _fields(head.split(b"\r\n")).get("transfer-encoding") == "chunked" else body
-            if first["type"] == "response" and first["digest"] not in (None, base64.b32encode(hashlib.sha1(payload).digest()).decode()):
-                raise ValueError(f"{row['key']}: the payload has another digest")
-            length = len(payload) if first["type"] == "response" else first["length"]
-            out += [(first["page_id"], first["uri"], length, first["digest"], first["type"], first["refers_to"], payload if first["type"] == "response" else None)] * copies
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, uri, payload_bytes, payload_digest, record_type, refers_to, payload); a revisit's payload is null."""
-    records = read_records(spark, path)
-    part = F.struct("type", "page_id", "uri", "refers_to", "digest", "length", "segment", "total", "block")
-    whole = records.where("segment is null").select(F.col("record_id").alias("key"), F.array(part).alias("parts"))
-    split = records.where("segment is not null").select(F.coalesce("origin", "record_id").alias("key"), part.alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
-    return whole.unionByName(split).mapInArrow(_payloads, "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    parsed = cut(lines.mapInArrow(_parse(with_payload), _PARSED))
+    whole = parsed.where("part is null").drop("key", "part")
+    split = parsed.where("part is not null").groupBy("key").agg(F.collect_list("part").alias("parts"))
+    return whole.unionByName(split.mapInArrow(_joined(with_payload), _PAGE))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op9_warc": op9_warc}

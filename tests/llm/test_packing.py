@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftloom.llm import packing, tokens
@@ -34,11 +35,16 @@ def test_every_id_once_and_no_gaps(spark, tokenizer):
 
 
 def test_sequences_hold_the_ids(spark, tokenizer):
-    docs = table(spark, [r for r in ODD if r[0] not in (None, 7)])
-    packed = packing.pack(packing.pieces(docs, PATH))
-    got = packing.sequences(docs, packed, PATH)
-    ids = sorted(i for r in rows(got) for i in r["ids"])
-    assert ids == sorted(i for d, t, *_ in ODD if d not in (None, 7) for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
+    got = rows(packing.sequences(packing.pack(packing.pieces(table(spark, ODD), PATH, with_ids=True))))
+    ids = sorted(i for r in got for i in r["ids"])
+    assert ids == sorted(i for _, t, *_ in ODD for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
+    assert all(len(r["ids"]) <= packing.SEQ_LEN and r["starts"][0] == 0 for r in got)
+
+
+def test_other_columns_are_carried_and_own_names_replaced(spark):
+    pieces = packing.pieces(table(spark, ODD), PATH).withColumns({c: F.lit(f"own {c}") for c in ("part", "sequence_id", "offset", "x")})
+    got = rows(packing.pack(pieces))
+    assert all(r["part"] == "own part" and r["x"] == "own x" and isinstance(r["sequence_id"], int) and isinstance(r["offset"], int) for r in got)
 
 
 def test_empty_table(spark):

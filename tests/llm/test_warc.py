@@ -50,7 +50,7 @@ def test_smaller_payloads_are_all_responses(spark, tmp_path):
 def test_records_are_written_in_the_format(spark, tmp_path):
     run(spark, PAGES, tmp_path / "w", segment=700)
     text = b"".join(gzip.open(p).read() for p in sorted((tmp_path / "w").glob("*.gz")))
-    assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and b"WARC-Segment-Origin-ID: <urn:page:6:" in text and b"WARC-Segment-Total-Length: " in text and b"X: y" not in text.replace(b"%20%0D%0AX:%20y", b"")
+    assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and f"WARC-Segment-Origin-ID: {warc._name(6, base64.b32encode(hashlib.sha1(BIG.encode()).digest()).decode())}".encode() in text and b"WARC-Segment-Total-Length: " in text and b"X: y" not in text.replace(b"%20%0D%0AX:%20y", b"")
 
 
 def test_hot_payload_and_empty_table(spark, tmp_path):
