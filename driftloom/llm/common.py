@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark import SparkContext
+import numpy as np
+import pyarrow as pa
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +110,29 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", cou
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
     return left.where(~is_hot).join(right.where(~is_hot), key, how).unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
+
+
+def vector_sum(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """The sum of the vectors of doubles that ``run`` makes of each partition's Arrow batches.
+
+    Vectors meet in two steps: about as many tasks as the square root of the partitions add up theirs, so the driver
+    gets that many vectors and no task many more.
+    """
+    columns = "part int, v array<double>"
+
+    def row(part: int, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], ["part", "v"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in run(batches):
+            yield row(TaskContext.get().partitionId(), v)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            out += batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+        yield row(0, out)
+
+    few = max(1, round(rows._jdf.queryExecution().toRdd().getNumPartitions() ** 0.5))
+    met = rows.mapInArrow(each, columns).repartition(few, F.col("part") % few).mapInArrow(added, columns)
+    return np.sum([v.values.to_numpy() for v in met.select("v").toArrow().column("v")] or np.zeros((1, size)), axis=0)
