@@ -28,8 +28,8 @@ WINDOW, K = 10, 5
 W = WINDOW - K + 1
 #: Bytes of benchmark words that are broadcast at once.
 BLOCK = 32 << 20
-#: Bits of a position beside the hash in one long.
-_AT = 26
+#: Bits of a position beside the hash in one long: an array column can't have 2 ** 28 entries.
+_AT = 28
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MARK = -1
@@ -73,10 +73,15 @@ def _classes(bench: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of docs without their text, and n_words, starts (first words of hit windows, by length) and item_ids."""
+    """The rows of docs without their text, and n_words, spans (first words of hit windows, and lengths) and item_ids.
+
+    Columns of docs that have one of these names are given up. Rows are numbered as docs gives them, which must be the
+    same in a task that runs again: a scan, or a stored frame.
+    """
     prepare(docs.sparkSession)
-    own = [c for c in docs.columns if c != text]
-    base = docs.select(F.struct(*own).alias("own") if own else F.struct(F.lit(None).alias("none")).alias("own"), words(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("row"))
+    own = [c for c in docs.columns if c not in (text, "n_words", "spans", "item_ids", "_row")]
+    numbered = spread(docs.select(*own, text, F.monotonically_increasing_id().alias("_row")))
+    base = numbered.select(F.struct(*own).alias("own") if own else F.struct(F.lit(None).alias("none")).alias("own"), words(F.col(text)).alias("words"), F.col("_row").alias("row"))
     classes = _classes(bench, item_id, item_text)
     size, members, lengths = classes.agg(F.sum(F.octet_length(F.array_join("item", " "))), F.sum(F.size("ids")), F.collect_set(F.when(F.size("item") < WINDOW, F.least(F.size("item"), F.lit(K))))).first()
     short = sorted(lengths)
@@ -127,7 +132,7 @@ def _covered(spans: Column) -> Column:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     counted = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), _covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids")
     return counted.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -15,6 +15,7 @@ apart; an empty table gives no rows; with no training text every token has the s
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,9 @@ TOP, STATES = 1 << 17, 8
 ROUNDS, FEWEST, SETTLED = 60, 10, 5e-4
 #: Tokens added to each word, shared out as the states share all tokens: a rare word is nobody's own.
 PULL = 2.0
-#: Tokens of a numpy batch; in training, longer texts count as several.
+#: Tokens of a numpy batch; longer texts go through the recursions block by block, each block from where the last one ended.
 BATCH = 1 << 19
+_LOG = logging.getLogger(__name__)
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
@@ -135,6 +137,11 @@ class Model:
     move: np.ndarray
     emit: np.ndarray
 
+    def doubled(self) -> Model:
+        """The same rates as doubles, each set of them with a sum of one."""
+        x = [v.astype(np.float64) for v in (self.start, self.move, self.emit)]
+        return Model(x[0] / x[0].sum(), x[1] / x[1].sum(axis=1, keepdims=True), x[2] / x[2].sum(axis=0))
+
 
 class _Laid:
     """Sequences side by side: the tokens of all of them at time 0, then at time 1 and so on, longest sequence first."""
@@ -150,14 +157,16 @@ class _Laid:
         self.seen[self.at[when] + which] = flat[begin[which] + when]
 
 
-def forward(model: Model, laid: _Laid, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
-    """Log10 likelihood of each sequence (in its given place); if kept, scaled forward rates, scales; emission rates."""
+def forward(model: Model, laid: _Laid, keep: bool, a: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray, np.ndarray | None]:
+    """Log10 likelihood of each sequence (in its given place); if kept, scaled forward rates, scales; emission rates; last rates.
+
+    ``a``: the rates that the sequences' earlier blocks ended with. Numbers are of the model's kind, the logarithms doubles.
+    """
     emit = model.emit[laid.seen]
     rows = len(laid.order)
-    scales = np.empty(len(emit), np.float32)
+    scales = np.empty(len(emit), emit.dtype)
     rates = np.empty_like(emit) if keep else None
     logs = np.zeros(rows)
-    a = None
     for t, d in enumerate(laid.active):
         i = laid.at[t]
         a = (model.start if a is None else a[:d] @ model.move) * emit[i : i + d]
@@ -169,15 +178,41 @@ def forward(model: Model, laid: _Laid, keep: bool) -> tuple[np.ndarray, np.ndarr
             rates[i : i + d] = a
     out = np.empty(rows)
     out[laid.order] = logs
-    return out, rates, scales, emit
+    return out, rates, scales, emit, a
 
 
 def expected(model: Model, laid: _Laid, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> float:
     """Add the expected counts of one batch to (states, words + 2), (states, states) and (states); returns its log10 likelihood."""
     if not len(laid.order):
         return 0.0
-    logs, rates, scales, emit = forward(model, laid, True)
+    logs, begun, _ = _counted(model, laid, emitted, moved)
+    started += begun
+    return float(logs.sum())
+
+
+def expected_long(model: Model, seen: np.ndarray, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> float:
+    """``expected`` of one sequence of any length: forward over all blocks, then back over them, one in memory at a time."""
+    blocks = [_one(seen[i : i + BATCH]) for i in range(0, len(seen), BATCH)]
+    ends: list[np.ndarray | None] = [None]
+    log = 0.0
+    for block in blocks:
+        logs, _, _, _, a = forward(model, block, False, ends[-1])
+        ends.append(a)
+        log += float(logs.sum())
     later = None
+    for block, a in zip(blocks[::-1], ends[-2::-1], strict=True):
+        _, begun, later = _counted(model, block, emitted, moved, a, later)
+    started += begun
+    return log
+
+
+def _one(seen: np.ndarray) -> _Laid:
+    return _Laid(seen, np.zeros(1, np.int64), np.array([len(seen)]))
+
+
+def _counted(model: Model, laid: _Laid, emitted: np.ndarray, moved: np.ndarray, a: np.ndarray | None = None, later: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihoods, the states' shares of the first tokens, and what the block before needs as its ``later``."""
+    logs, rates, scales, emit, _ = forward(model, laid, True, a)
     back = model.move.T.copy()
     for t in range(len(laid.active) - 1, -1, -1):
         i, d = laid.at[t], laid.active[t]
@@ -188,10 +223,9 @@ def expected(model: Model, laid: _Laid, emitted: np.ndarray, moved: np.ndarray,
             b[:e] = later @ back
         later = emit[i : i + d] * b / scales[i : i + d, None]
         rates[i : i + d] *= b
-    started += rates[: laid.active[0]].sum(axis=0)
     for k in range(len(emitted)):
         emitted[k] += np.bincount(laid.seen, weights=rates[:, k], minlength=emitted.shape[1])
-    return float(logs.sum())
+    return logs, rates[: laid.active[0]].sum(axis=0), later
 
 
 def renew(model: Model, plain: np.ndarray, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> Model:
@@ -203,23 +237,20 @@ def renew(model: Model, plain: np.ndarray, emitted: np.ndarray, moved: np.ndarra
     return Model((start / start.sum()).astype(np.float32), (move / move.sum(axis=1, keepdims=True)).astype(np.float32), np.ascontiguousarray((emit / emit.sum(axis=1, keepdims=True)).T.astype(np.float32)))
 
 
-def _batches(ids: pa.ListArray, split: bool) -> Iterator[tuple[_Laid, np.ndarray]]:
-    """Laid batches of similar lengths, and the places of their sequences; split: long sequences count as several."""
+def _batches(ids: pa.ListArray) -> Iterator[tuple[_Laid | None, np.ndarray, np.ndarray]]:
+    """Laid batches of similar lengths, and the places of their sequences; a sequence longer than BATCH alone, as it is."""
     at, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
     begin, n = at[:-1], np.diff(at)
-    place = np.arange(len(n))
-    if split and len(n) and n.max() > BATCH:
-        parts = -(-n // BATCH)
-        place = np.repeat(place, parts)
-        inner = np.arange(len(place)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin, n = begin[place] + inner * BATCH, np.minimum(BATCH, n[place] - inner * BATCH)
+    for place in np.flatnonzero(n > BATCH):
+        yield None, np.array([place]), flat[at[place] : at[place + 1]]
     order = np.argsort(-n, kind="stable")
+    order = order[n[order] <= BATCH]
     done = np.cumsum(n[order])
     i = 0
     while i < len(order):
         j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + BATCH, "right")))
         own = order[i:j]
-        yield _Laid(flat, begin[own], n[own]), place[own]
+        yield _Laid(flat, begin[own], n[own]), own, flat[:0]
         i = j
 
 
@@ -263,8 +294,8 @@ def baum_welch(encoded: DataFrame, model: Model, plain: np.ndarray) -> tuple[Mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitted, moved, started, log = np.zeros((states, words)), np.zeros((states, states)), np.zeros(states), 0.0
         for batch in batches:
-            for laid, _ in _batches(batch.column("ids"), True):
-                log += expected(sent.value, laid, emitted, moved, started)
+            for laid, _, seen in _batches(batch.column("ids")):
+                log += expected(sent.value, laid, emitted, moved, started) if laid else expected_long(sent.value, seen, emitted, moved, started)
         # Words first, then one row for each state moved from, then the starts and the likelihood.
         kept = np.flatnonzero(emitted.any(axis=0))
         keys = np.concatenate([kept, words + np.arange(states), [words + states, words + states + 1]])
@@ -287,6 +318,7 @@ def learn(encoded: DataFrame, vocab: Vocabulary, plain: np.ndarray, states: int
     for done in range(1, rounds + 1):
         model, log = baum_welch(encoded, model, plain)
         encoded.sparkSession._jvm.System.gc()  # what the round shuffled goes from the executors' disks
+        _LOG.info("round %d: log10 likelihood %.6g, %.6g a token", done, log, log / max(1, vocab.total))
         calm = calm + 1 if log - last <= SETTLED * vocab.total else 0
         if calm >= 2 and done >= FEWEST:
             break
@@ -296,7 +328,7 @@ def learn(encoded: DataFrame, vocab: Vocabulary, plain: np.ndarray, states: int
 
 def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
     """(row, doc_id, held_out, n_tokens, top_known, top_log, n_other, forward): forward is the log10 likelihood of the ids."""
-    sent = encoded.sparkSession.sparkContext.broadcast(model)
+    sent = encoded.sparkSession.sparkContext.broadcast(model.doubled())
     other = len(model.emit) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +336,14 @@ def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
             ids = batch.column("ids")
             at = ids.offsets.to_numpy().astype(np.int64)
             out = np.zeros(batch.num_rows)
-            for laid, place in _batches(ids, False):
-                out[place] = forward(sent.value, laid, False)[0]
+            for laid, place, seen in _batches(ids):
+                if laid:
+                    out[place] = forward(sent.value, laid, False)[0]
+                    continue
+                a = None
+                for i in range(0, len(seen), BATCH):
+                    logs, _, _, _, a = forward(sent.value, _one(seen[i : i + BATCH]), False, a)
+                    out[place] += logs
             rare = np.concatenate([[0], np.cumsum(ids.values.to_numpy() == other)])
             n_other = rare[at[1:]] - rare[at[:-1]]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "doc_id", "held_out")), pa.array(np.diff(at)), *(batch.column(k) for k in ("top_known", "top_log")), pa.array(n_other), pa.array(out)], ["row", "doc_id", "held_out", "n_tokens", "top_known", "top_log", "n_other", "forward"])
@@ -316,7 +354,8 @@ def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
 def score(docs: DataFrame, held_out, top: int = TOP, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; learns where not held_out."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    # Rows are numbered as they are read, before they are dealt out anew: the same in a task that runs again.
+    texts = spread(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")))
     training = texts.where(~F.col("held_out"))
     counts = cut(word_counts(training))
     vocab = vocabulary(counts, training.count(), top)
@@ -336,7 +375,7 @@ def score(docs: DataFrame, held_out, top: int = TOP, states: int = STATES, round
 
 def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     left_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
-    return score(spread(table(spark, sf_dir, "documents")), left_out)
+    return score(table(spark, sf_dir, "documents"), left_out)
 
 
 QUERIES = {"op7_hmm_lm": op7_hmm_lm}

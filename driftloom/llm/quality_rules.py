@@ -148,9 +148,11 @@ def posterior(cast: list[Column], prior: float, rates: list[dict[int, tuple[floa
     return 1 / (1 + F.exp(-logit))
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the base columns, base_failed, quality (the posterior) and kept.
 
+    With ``min_words`` of 0, being short is left to the rules' votes, as the only thing that fails a text outright is repetition.
+
     Without the text, rows are narrow: their features are counted once and stored. With it, they are counted again in
     the pass that carries the texts, which is less than storing these.
     """
@@ -163,7 +165,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text
     cast = [v.alias(f"v{i}") for i, v in enumerate(votes())]
     patterns = (features(docs.select(text), text) if keep_text else rows).select(*cast).groupBy(*[f"v{i}" for i in range(len(cast))]).agg(F.count("*").alias("n"))
     prior, rates = estimate(patterns, len(RULES))
-    failed = (F.col("_f.n_words") < MIN_WORDS) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT * F.col("_f.n_words"))
+    failed = (F.col("_f.n_words") < min_words) | (100 * F.col("_f.n_repeat_words") > MAX_REPEAT * F.col("_f.n_words"))
     judged = rows.select(*own, *[F.col(f"_f.{c}").alias(c) for c in _BASE], failed.alias("base_failed"), posterior(votes(), prior, rates).alias("quality"), F.col("_f.row").alias("_row"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold) & (F.col("_row") >= 0)).drop("_row")
 

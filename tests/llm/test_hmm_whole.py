@@ -24,3 +24,17 @@ def test_rounds_end_when_the_likelihood_settles(spark, monkeypatch):
     hmm_lm.score(table(spark, data, clashes=False), left_out(), states=4).collect()
     gains, tokens = np.diff(seen), 61 * 120
     assert 3 <= len(seen) < hmm_lm.ROUNDS and gains.min() > -0.001 * tokens and gains[0] > 0.01 * tokens and max(gains[-2:]) < hmm_lm.SETTLED * tokens
+
+
+def test_long_texts_go_through_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    draw = lambda *s: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(s))
+    model = hmm_lm.Model(draw(3), draw(3, 3), np.ascontiguousarray(draw(3, 9).T))
+    seen = rng.integers(0, 9, 103).astype(np.int32)
+    whole = np.zeros((3, 9)), np.zeros((3, 3)), np.zeros(3)
+    log = hmm_lm.expected(model, hmm_lm._one(seen), *whole)
+    for size in (103, 50, 17, 1):
+        monkeypatch.setattr(hmm_lm, "BATCH", size)
+        blocks = np.zeros((3, 9)), np.zeros((3, 3)), np.zeros(3)
+        assert abs(hmm_lm.expected_long(model, seen, *blocks) - log) < 1e-9
+        assert all(np.allclose(a, b) for a, b in zip(whole, blocks, strict=True))
