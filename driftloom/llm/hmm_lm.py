@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, spread, table
-from .tokens import steps
+from .tokens import plain, steps
 
 TOP, STATES = 1 << 17, 8
 #: Most and fewest rounds; they end when two in a row gain less than SETTLED decimal digits a token.
@@ -40,7 +40,7 @@ _LOG = logging.getLogger(__name__)
 
 def split_words(texts: pa.Array) -> pa.ListArray:
     """Words in ASCII lower case; nulls have none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain(texts)))
     flat = lists.flatten()
     full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     at = np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_hot, prepare, spread, table, vector_sum
 from .hmm_lm import split_words
-from .tokens import steps
+from .tokens import plain, steps
 
 #: Bins of a measure; Newton steps at most, and the decrease of the risk at which they end; the decay of the weights, over
 #: the number of positives (as a prior on the weights has it).
@@ -58,7 +58,7 @@ _SETS = {
 
 def measures(texts: pa.Array) -> np.ndarray:
     """One row of MEASURES per text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = plain(texts)
     raw = texts.cast(pa.large_binary())
     at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]] if raw.buffers()[2] is not None else np.zeros(0, np.uint8)

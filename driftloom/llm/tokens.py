@@ -109,7 +109,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Nulls count as empty texts."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = plain(texts)
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         if not self.cuts:
@@ -147,6 +147,18 @@ class Encoder:
         return np.concatenate([every, some])[_runs(begin, n, end)], np.concatenate([[0], end])
 
 
+def plain(texts: pa.Array) -> pa.LargeStringArray:
+    """The texts, nulls as empty ones, in an array that begins at its buffers' beginning.
+
+    Slices don't, and pyarrow's ``ascii_lower`` (23.0) then gives other bytes, without an error.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1] if at is not None and len(texts) else np.zeros(1, np.int64)
+    data = data.slice(int(at[0]), int(at[-1] - at[0])) if data is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), data)
+
+
 def _runs(start: np.ndarray, n: np.ndarray, end: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for n each, one after another; end is the running sum of n."""
     kind = np.int32 if len(end) and start.max() + n.max() < 1 << 31 and end[-1] < 1 << 31 else np.int64
