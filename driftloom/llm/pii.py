@@ -1,8 +1,10 @@
 """Operator 5: personal data by patterns and by a linear-chain conditional random field over word shapes.
 
 The patterns give the base spans. The field is trained by conditional likelihood on a small labelled table of short
-sentences (``training_table`` unless another is given), which shows personal data in forms that the patterns miss, beside numbers that are
-none: dates, prices, versions, keys. Its spans are added where they touch no base span; base spans stay.
+sentences (``training_table`` unless another is given), which shows personal data in forms that the patterns miss and
+secrets (a kind of its own) that are assigned to a name, beside numbers that are none: dates, prices, versions, keys. Its
+spans are added where they touch no base span; base spans stay. Nothing is filtered after the field: check digits, byte
+values and the digits of a run of numbers are features of its words.
 
 The field is constrained: a word that has no digit, at sign or bracketed "at" or "dot", and has no such word beside it,
 can only be ordinary. So a text falls into runs between those words, each is decoded exactly, and all runs of an Arrow
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import prepare, spread, table
 from .tokens import steps
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds that the patterns find.
+BASE_KINDS = KINDS[:4]
 #: A start inside a run of digits never matches where the run's start doesn't, so runs are entered at their start only.
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -80,30 +84,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the field ----
 
 _SHAPES = [(re.compile(p), s) for p, s in ((r"[A-Z]", "X"), (r"[a-z]", "x"), (r"[0-9]", "d"), (r"[^\x00-\x7F]", "u"))]
-_CUES = re.compile(r"^[(\"']*(phone|tel|telephone|call|fax|mobile|cell|whatsapp|e-?mail|mail|contact|card|visa|mastercard|ip|host|address|server)[.:,)\"']*$", re.IGNORECASE)
+_CUES = re.compile(r"^[(\"'*]*(phone|tel|telephone|call|fax|mobile|cell|whatsapp|e-?mail|mail|contact|card|visa|mastercard|ip|host|address|server|token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth|bearer)[.:,=)\"'*]*$", re.IGNORECASE)
+_SECRETS = {"token", "password", "passwd", "pwd", "secret", "apikey", "api_key", "accesskey", "access_key", "auth", "bearer"}
+_ASSIGNED = re.compile(r"(token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth)[\"']?[:=]", re.IGNORECASE)
 _AT = re.compile(r"[\[({<](at|dot)[\])}>]", re.IGNORECASE)
+_GROUP = re.compile(r"[+(]?[0-9][0-9().\-/]*[.,;:!?\"']*")
+_EDGE = ".,;:!?\"'#*$%&|"
 
 
 @lru_cache(maxsize=1 << 16)
-def features(word: str) -> tuple[str, ...]:
-    """Features of a word's shape; long words are judged by their first 64 characters and their length."""
+def _features(word: str) -> tuple[str, ...]:
     if not _SPECIAL.search(word):
-        cue = _CUES.match(word) if len(word) < 16 else None
-        return ("plain", "cue=" + cue[1].lower().replace("-", "")) if cue else ("plain",)
-    core = word[:64].strip(".,;:!?\"'")
+        cue = _CUES.match(word) if len(word) < 24 else None
+        if cue:
+            name = cue[1].lower().replace("-", "")
+            return ("plain", "cue=" + ("secret" if name in _SECRETS else name))
+        return ("plain", "equals") if word in ("=", ":", ":=", "=>") else ("plain",)
+    core = word.strip(_EDGE)
     shape = core
     for pattern, sign in _SHAPES:
         shape = pattern.sub(sign, shape)
     short = re.sub(r"(.)\1+", r"\1", shape)
-    n = sum(c in "0123456789" for c in core)
+    digits = _digits(core)
+    n = len(digits)
     out = ["special", "short=" + short[:12], f"digits={min(n, 20)}", "head=" + shape[:1], "at" if "@" in core else "no at"]
     if re.fullmatch(r"[d().+/-]+", shape) and n:
-        out.append("groups=" + ",".join(str(len(g)) for g in re.findall("d+", shape))[:16])
+        groups = re.findall("[0-9]+", core)
+        out.append("groups=" + ",".join(map(str, map(len, groups)))[:16])
+        if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups):
+            out.append("bytes")
+    if re.search(r"@[\w-]+(\.|[\[({<]dot)", core) or re.search(r"[\[({<]at[\])}>][\w-]+(\.|[\[({<]dot)", core, re.IGNORECASE):
+        out.append("domain")
     if _AT.search(word):
         out.append("spelt")
+    if len(core) >= 12 and re.fullmatch(r"[\w./+=-]+", core):
+        out += [f"long={min(len(core) // 8, 8)}", "hex" if re.fullmatch("[0-9a-fA-F]+", core) else "mixed"]
+        if n == len(core):
+            out.append("number")
+    if _ASSIGNED.search(word):
+        out.append("assigned")
     return tuple(out)
 
 
+def features(word: str) -> tuple[str, ...]:
+    """Features of a whole word's shape; those of words that aren't long are kept."""
+    return _features(word) if len(word) <= 256 else _features.__wrapped__(word)
+
+
+def marks(words: list[str]) -> list[tuple[str, ...]]:
+    """Features of the run of digit groups that each word is part of: its digits in all, and whether their check digit holds."""
+    out: list[tuple[str, ...]] = [()] * len(words)
+    i = 0
+    while i < len(words):
+        j = i
+        while j < len(words) and _GROUP.fullmatch(words[j]):
+            j += 1
+        if j > i:
+            digits = "".join(map(_digits, words[i:j]))
+            n = len(digits)
+            own = (f"run={min(n, 20)}", f"run words={min(j - i, 6)}", *(("run check" if luhn(digits) else "run no check",) if 12 <= n <= 19 else ()))
+            out[i:j] = [own] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
 def _fill(sentence: str, kinds: dict[str, str]) -> tuple[list[str], list[int]]:
     words, labels = [], []
     for part in sentence.split(" "):
@@ -111,7 +155,8 @@ def _fill(sentence: str, kinds: dict[str, str]) -> tuple[list[str], list[int]]:
         body = part.replace(kind, kinds[kind]) if kind in kinds else part
         for w in body.split():
             words.append(w)
-            labels.append(1 + KINDS.index(kind.lower().rstrip("0123456789")) if kind in kinds and kind.lower().rstrip("0123456789") in KINDS else 0)
+            name = "secret" if kind == "ASSIGNED" else kind.lower()
+            labels.append(1 + KINDS.index(name) if kind in kinds and name in KINDS else 0)
     return words, labels
 
 
@@ -129,7 +174,7 @@ def training_table(size: int = 900, seed: int = 11) -> list[tuple[list[str], lis
     pick = lambda *x: x[random.integers(len(x))]
     frames = [
         "X X X EMAIL X X.", "contact: EMAIL X X", "write to EMAIL, X or PHONE X", "X email EMAIL.", "X X IP X X", "server IP X X.", "X card CARD X X", "visa: CARD, X X", "call PHONE X X.", "tel: PHONE X X", "phone PHONE, X X", "X X PHONE X",
-        "X DATE X X DATE2.", "X on DATE X PRICE X", "version VERSION X X", "X X VERSION, X PLAIN X", "X PLAIN X PLAIN2 X", "token = \"HEX\" X", "X HEX X X", "X PRICE, X PRICE2 X.", "X TIME X X TIME2", "X MENTION X X", "PLAIN X X PLAIN2.", "id PLAIN X HEX X", "X PART X PART2 X", "X X X X X X.", "call X X PLAIN", "X card X PLAIN X", "X at X dot X X", "X PLAIN PLAIN2 X X", "X | DATE | X | PRICE |", "server VERSION X X", "X ORDER X X", "order ORDER X", "phone X X DATE",
+        "X DATE X X DATE2.", "X on DATE X PRICE X", "version VERSION X X", "X X VERSION, X PLAIN X", "X PLAIN X PLAIN2 X", "X HEX X X", "X PRICE, X PRICE2 X.", "X TIME X X TIME2", "X MENTION X X", "PLAIN X X PLAIN2.", "SECRETNAME = SECRET X X", "X SECRETNAME: SECRET, X", "X ASSIGNED X", "X SIXTEEN X X", "X X SIXTEEN.", "card SIXTEEN X", "X = PLAIN X", "X = HEX X", "id = HEX X", "X SECRETNAME X X", "id PLAIN X HEX X", "X PART X PART2 X", "X X X X X X.", "call X X PLAIN", "X card X PLAIN X", "X at X dot X X", "X PLAIN PLAIN2 X X", "X | DATE | X | PRICE |", "server VERSION X X", "X ORDER X X", "order ORDER X", "phone X X DATE",
     ]
     out = []
     for _ in range(size):
@@ -137,7 +182,13 @@ def training_table(size: int = 900, seed: int = 11) -> list[tuple[list[str], lis
         user = user.strip("._")
         c = _card(random)
         area, mid, end = digits(3), digits(3), digits(4)
+        hexes, mixed = (lambda: "".join(random.choice(list("0123456789abcdef"), pick(16, 32, 40, 64)))), (lambda: pick("sk_live_", "ghp_", "AKIA", "") + "".join(random.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789"), pick(16, 24, 36))) + digits(1))
+        secret, named = pick(hexes(), hexes().upper(), mixed()), pick("token", "password", "secret", "api_key", "TOKEN", "access_key", "apikey", "pwd")
+        sixteen = digits(pick(13, 15, 16, 16, 16))
+        sixteen = sixteen if not luhn(sixteen) else sixteen[:-1] + str((int(sixteen[-1]) + 1) % 10)
         kinds = {
+            "SECRETNAME": named, "SECRET": pick(f'"{secret}"', secret, f"'{secret}'", f'"{secret}"###', f'"{secret}"!!'), "ASSIGNED": pick(f"{named}={secret}", f'{named}="{secret}"', f"{named}:{secret}"),
+            "SIXTEEN": pick(sixteen, sixteen, f"{sixteen[:4]} {sixteen[4:8]} {sixteen[8:12]} {sixteen[12:]}", f"{sixteen[:4]}-{sixteen[4:8]}-{sixteen[8:12]}-{sixteen[12:]}"),
             "EMAIL": pick(f"{user}@{host}", f"{user}(at){host}", f"{user}[at]{host}", f"{user} (at) {host}", f"{user} [at] {host.split('.')[0]} [dot] com", f"{user}[at]{name()}[dot]org", f"{user}@{name()}", f"{user} @ {host}"),
             "IP": pick(".".join(str(random.integers(0, 256)) for _ in range(4)), ".".join(str(random.integers(0, 256)) for _ in range(4)) + f":{digits(4)}", ".".join(str(random.integers(0, 256)) for _ in range(3)) + "[.]" + str(random.integers(0, 256))),
             "CARD": pick(c, f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}", f"{c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}", f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}"),
@@ -155,10 +206,13 @@ def training_table(size: int = 900, seed: int = 11) -> list[tuple[list[str], lis
 
 
 class Field:
-    """Weights of a linear-chain conditional random field: word features at the word itself, before it and after it."""
+    """Weights of a linear-chain conditional random field: features of the word itself and its run of numbers, and of the
+    word before it, the one before that, and the one after it."""
 
-    def __init__(self, labelled: list[tuple[list[str], list[int]]], rounds: int = 250, rate: float = 0.1, decay: float = 2e-4):
-        names = sorted({(at, f) for words, _ in labelled for w in words for f in features(w) for at in (0, -1, 1)} | {(at, "edge") for at in (-1, 1)})
+    def __init__(self, labelled: list[tuple[list[str], list[int]]], rounds: int = 160, rate: float = 0.1, decay: float = 2e-4):
+        near = {f for words, _ in labelled for w in words for f in features(w)}
+        own = {f for words, _ in labelled for m in marks(words) for f in m}
+        names = sorted({(at, f) for f in near for at in (0, -1, -2, 1)} | {(0, f) for f in own} | {(at, "edge") for at in (-1, -2, 1)})
         self.index = {n: i for i, n in enumerate(names)}
         self.k = 1 + len(KINDS)
         self.own = np.zeros((len(names), self.k))
@@ -169,8 +223,15 @@ class Field:
         names = [(at, f) for f in features(word)] if word is not None else [(at, "edge")]
         return [self.index[n] for n in names if n in self.index]
 
-    def emission(self, word: str, before: str | None, after: str | None) -> np.ndarray:
-        return self.own[self._slots(word, 0) + self._slots(before, -1) + self._slots(after, 1)].sum(axis=0)
+    def slots(self, words: list[str | None], i: int, run: tuple[str, ...]) -> list[int]:
+        """Features of words[i]; None stands for a text's edge, as does what lies beyond the list."""
+        at = lambda d: words[i + d] if 0 <= i + d < len(words) else None
+        return self._slots(at(0), 0) + [self.index[0, f] for f in run if (0, f) in self.index] + self._slots(at(-1), -1) + self._slots(at(-2), -2) + self._slots(at(1), 1)
+
+    def emissions(self, words: list[str | None], first: int, last: int) -> np.ndarray:
+        """Weights of the labels of words[first:last]; the words around them are context."""
+        runs = marks([w or "" for w in words])
+        return np.stack([self.own[self.slots(words, i, runs[i])].sum(axis=0) for i in range(first, last)])
 
     def _train(self, labelled: list[tuple[list[str], list[int]]], rounds: int, rate: float, decay: float) -> None:
         longest, n = max(len(w) for w, _ in labelled), len(labelled)
@@ -178,8 +239,9 @@ class Field:
         gold, real = np.zeros((n, longest), int), np.zeros((n, longest), bool)
         for i, (words, labels) in enumerate(labelled):
             gold[i, : len(words)], real[i, : len(words)] = labels, True
-            for t, w in enumerate(words):
-                s = self._slots(w, 0) + self._slots(words[t - 1] if t else None, -1) + self._slots(words[t + 1] if t + 1 < len(words) else None, 1)
+            runs = marks(words)
+            for t in range(len(words)):
+                s = self.slots(words, t, runs[t])
                 rows += [i * longest + t] * len(s)
                 cols += s
         rows, cols = np.array(rows), np.array(cols)
@@ -235,14 +297,6 @@ class Field:
         return out
 
 
-_CHECKS = {
-    1: lambda s: bool(re.search(r"@|[\[({<]at[\])}>]", s, re.IGNORECASE)) and bool(re.search(r"\w\s*(\.|[\[({<]dot[\])}>])\s*\w", s, re.IGNORECASE)) and bool(re.match(r"[\w.+%-]", s)),
-    2: lambda s: len(g := re.findall("[0-9]+", s)) in (4, 5) and all(len(x) <= 3 and int(x) <= 255 for x in g[:4]),
-    3: lambda s: 12 <= len(d := _digits(s)) <= 19 and luhn(d),
-    4: lambda s: 9 <= len(_digits(s)) <= 15,
-}
-
-
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, added spans) of each text, as (start, index of kind, end)."""
     bases: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -260,8 +314,8 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
             while j + 1 < len(marked) and marked[j + 1] == marked[j] + 1:
                 j += 1
             a, b = marked[i], marked[j]
-            near = [text[slice(*words[x])] if 0 <= x < len(words) else None for x in range(a - 1, b + 2)]
-            runs.append(np.stack([field.emission(near[x], near[x - 1], near[x + 1]) for x in range(1, len(near) - 1)]))
+            near = [text[slice(*words[x])] if 0 <= x < len(words) else None for x in range(a - 2, b + 2)]
+            runs.append(field.emissions(near, 2, len(near) - 1))
             inside.append((a > 0, b + 1 < len(words)))
             where.append((k, words[a : b + 1]))
             i = j + 1
@@ -274,11 +328,11 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
                 j += 1
             if labels[i]:
                 text, (begin, end) = texts[k], (words[i][0], words[j][1])
-                while begin < end and text[begin] in "\"'<,;:":
+                while begin < end and text[begin] in "\"'<,;:#*$%&|":
                     begin += 1
-                while begin < end and text[end - 1] in "\"'>,;:.!?":
+                while begin < end and text[end - 1] in "\"'>,;:.!?#*$%&|":
                     end -= 1
-                if _CHECKS[labels[i]](text[begin:end]) and not any(a < end and begin < b for a, _, b in bases[k]):
+                if begin < end and not any(a < end and begin < b for a, _, b in bases[k]):
                     added[k].append((begin, int(labels[i]) - 1, end))
             i = j + 1
     return [(b, sorted(a)) for b, a in zip(bases, added, strict=True)]
@@ -333,7 +387,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spread(table(spark, sf_dir, "documents")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 QUERIES = {"op5_pii": op5_pii}
