@@ -31,7 +31,7 @@ from .common import cut, prepare, spread, table
 SEQ_LEN = 1024
 CLOSING_ID = 0
 #: Text bytes that are encoded at a time; small, as packing often runs where workers still hold what others left.
-STEP = 3 << 20
+STEP = 2 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Names of ``pack``; columns of its input that have them are given up.
 _OWN = ("sequence_id", "offset", "_part")
