@@ -35,6 +35,8 @@ ROUNDS, FEWEST, SETTLED = 60, 10, 5e-4
 PULL = 2.0
 #: Tokens of a numpy batch; longer texts go through the recursions block by block, each block from where the last one ended.
 BATCH = 1 << 19
+#: Training tokens that a partition should have, so that its sums are smaller than its texts.
+SHARE = 3_000_000
 _LOG = logging.getLogger(__name__)
 
 
@@ -254,12 +256,13 @@ def _batches(ids: pa.ListArray) -> Iterator[tuple[_Laid | None, np.ndarray, np.n
         i = j
 
 
-def _training(encoded: DataFrame, *columns) -> DataFrame:
-    """Columns of all training texts in few partitions, each of which hands on one row a word."""
-    return encoded.where(~F.col("held_out")).select(*columns).coalesce(2 * encoded.sparkSession.sparkContext.defaultParallelism)
+def _training(encoded: DataFrame, tokens: int) -> DataFrame:
+    """All training texts in few partitions: each hands on one row a word, which SHARE tokens or more should come to."""
+    parts = min(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-tokens // SHARE))
+    return encoded.where(~F.col("held_out")).select("ids").coalesce(max(1, parts))
 
 
-def starting_model(encoded: DataFrame, plain: np.ndarray, states: int = STATES) -> Model:
+def starting_model(training: DataFrame, plain: np.ndarray, states: int = STATES) -> Model:
     """Each state has the words of the training texts that a hash gives it: all of them, in full."""
     words, names = len(plain), [f"s{k}" for k in range(states)]
 
@@ -276,7 +279,7 @@ def starting_model(encoded: DataFrame, plain: np.ndarray, states: int = STATES)
             part = kept[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(v[part]) for v in emitted)], ["key", *names])
 
-    rows = _training(encoded, "ids", F.pmod(F.xxhash64("ids"), F.lit(states)).alias("own")).mapInArrow(run, "key int, " + ", ".join(f"{n} long" for n in names))
+    rows = training.select("ids", F.pmod(F.xxhash64("ids"), F.lit(states)).alias("own")).mapInArrow(run, "key int, " + ", ".join(f"{n} long" for n in names))
     sums = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most words rows
     emitted = np.zeros((states, words))
     if sums.num_rows:
@@ -285,10 +288,10 @@ def starting_model(encoded: DataFrame, plain: np.ndarray, states: int = STATES)
     return renew(Model(np.full(states, 1 / states), stay, plain[:, None]), plain, emitted, np.full((states, states), 1e6), np.ones(states))
 
 
-def baum_welch(encoded: DataFrame, model: Model, plain: np.ndarray) -> tuple[Model, float]:
+def baum_welch(training: DataFrame, model: Model, plain: np.ndarray) -> tuple[Model, float]:
     """One round over all training texts: expected counts by partition, added up by word and state; and the log10 likelihood before it."""
     states, words = len(model.start), len(plain)
-    sent = encoded.sparkSession.sparkContext.broadcast(model)
+    sent = training.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +306,7 @@ def baum_welch(encoded: DataFrame, model: Model, plain: np.ndarray) -> tuple[Mod
         for i in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)], pa.int32()), *(pa.array(v[i : i + (1 << 16)]) for v in values)], ["key", *names])
 
-    rows = _training(encoded, "ids").mapInArrow(run, "key int, " + ", ".join(f"{n} float" for n in names))
+    rows = training.mapInArrow(run, "key int, " + ", ".join(f"{n} float" for n in names))
     sums = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most words + states + 2 rows
     sent.unpersist()
     full = np.zeros((states, words + states + 2))
@@ -314,9 +317,10 @@ def baum_welch(encoded: DataFrame, model: Model, plain: np.ndarray) -> tuple[Mod
 
 def learn(encoded: DataFrame, vocab: Vocabulary, plain: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Rounds over all training texts until two in a row gain less than SETTLED a token."""
-    model, last, calm = starting_model(encoded, plain, states), -np.inf, 0
+    training = _training(encoded, vocab.total)
+    model, last, calm = starting_model(training, plain, states), -np.inf, 0
     for done in range(1, rounds + 1):
-        model, log = baum_welch(encoded, model, plain)
+        model, log = baum_welch(training, model, plain)
         encoded.sparkSession._jvm.System.gc()  # what the round shuffled goes from the executors' disks
         _LOG.info("round %d: log10 likelihood %.6g, %.6g a token", done, log, log / max(1, vocab.total))
         calm = calm + 1 if log - last <= SETTLED * vocab.total else 0
