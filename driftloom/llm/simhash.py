@@ -151,25 +151,39 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS, group: int = GROUP)
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS) -> DataFrame:
-    """(fp, doc_id, key, component_id, root): component_id is the smallest doc_id in reach; root names the group."""
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, also: DataFrame | None = None) -> DataFrame:
+    """(fp, doc_id, key, component_id, root): component_id is the smallest doc_id in reach; root names the group.
+
+    ``also``: a stored table (key, root) of groups found in another way; rows of one root are linked like fingerprints in reach.
+    """
     prepare(docs.sparkSession)
-    return groups(cut(fingerprints(docs, words)), max_bits)
+    return groups(cut(fingerprints(docs, words)), max_bits, also)
+
 
+def _linked(marked: DataFrame, also: DataFrame) -> DataFrame:
+    """(a, b): each group's fingerprints, linked to its smallest one."""
+    own = cut(marked.select("key", "fp").distinct().join(also.select("key", "root").distinct(), "key").select("root", "fp").distinct())
+    low = cut(own.groupBy("root").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    return join_hot(own, low.select("root", "a"), "root", "inner", low.select("root", "n")).where("fp <> a").select("a", F.col("fp").alias("b"))
 
-def groups(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+
+def groups(marked: DataFrame, max_bits: int = MAX_BITS, also: DataFrame | None = None) -> DataFrame:
     """``near_duplicates`` of a stored table of fingerprints."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = cut(components(links(distinct.select("fp"), distinct.count(), max_bits)))
+    met = links(distinct.select("fp"), distinct.count(), max_bits)
+    roots = cut(components(met if also is None else met.unionByName(_linked(marked, also))))
     lows = roots.join(distinct, roots["node"] == distinct["fp"]).select("root", "fp", "low")
     named = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id", "root")
     alone = distinct.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.col("fp").alias("root"))
     return join_hot(marked, cut(named.unionByName(alone)), "fp")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id (null is largest); of repeated rows, one."""
-    return first_of_groups(docs, cut(near_duplicates(docs, max_bits)))
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, also: DataFrame | None = None) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id (null is largest); of repeated rows, one.
+
+    ``also`` as in ``near_duplicates``.
+    """
+    return first_of_groups(docs, cut(near_duplicates(docs, max_bits, also=also)))
 
 
 def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import corpus_pipeline
+from driftloom.llm import simhash
+from driftloom.llm.common import row_key
 
 from . import test_decontamination as leaks
 from . import test_quality_rules as quality
@@ -46,3 +48,26 @@ def test_empty_documents(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, str(tmp_path))
     assert rows(docs) == []
+
+
+def test_near_duplicates_are_simhash_groups_with_further_links(spark, tmp_path):
+    line, plain = "one line that is found very often " * 20, [f"term{i}" for i in range(200)]
+    texts = [line + " ".join(f"{c}{i}" for i in range(20)) for c in "ab"] + [" ".join([*plain[:50], w, *plain[51:]]) for w in ("term50", "changed")] + ["some other text that nobody copied"]
+    fps = [copies.fingerprint(t) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4
+    near = lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 4
+    assert (near(0, 1), alike(0, 1), near(2, 3), alike(2, 3)) == (True, False, False, True)  # the first pair by SimHash alone, the second not by it
+    docs = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)], clashes=False)
+    kept = {r["doc_id"] for r in rows(dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)))}
+    assert kept == {0, 2, 4}
+
+
+def test_further_links_join_the_groups_of_fingerprints(spark):
+    data = [(i, " ".join(f"t{i}x{j}" for j in range(12)), "en", "s", 1) for i in range(5)] + [(9, " ".join(f"t3x{j}" for j in range(12)), "en", "s", 1)] * 2
+    docs = table(spark, data, clashes=False)
+    keys = {r["doc_id"]: r["key"] for r in rows(docs.select("doc_id", row_key().alias("key")))}
+    also = spark.createDataFrame([(keys[i], root) for i, root in ((0, 7), (1, 7), (1, 8), (9, 8), (2, 5))], "key struct<a:long,b:long>, root long")
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs, also=also))}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 9: 0}
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_one(docs, also=also))) == [0, 2, 4]
