@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from .common import cut, join_hot, prepare
 
 _EDGES = "a long, b long"
+#: Links (16 bytes each) that one task takes together; more go through the rounds.
+TOGETHER = 1_000_000
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_forest`` of all batches as one."""
+    met = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())])).combine_chunks()
+    yield from _forest(iter(met.to_batches()))
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,19 +54,26 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def components(links: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(node, root) of every node in ``links`` (columns a, b: long); root is the smallest node in reach.
 
-    Self links are dropped and repeated ones count once. Each round is cut through the checkpoint folder. The number of rounds grows as
+    Self links are dropped and repeated ones count once. Up to ``together`` links, once each partition's are stars, one task does the rest:
+    each exchange of a round costs the driver a thread for a minute. Else each round is cut through the checkpoint folder; their number grows as
     the logarithm of the longest path, squared at worst.
     """
     prepare(links.sparkSession)
     down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = cut(down.mapInArrow(_forest, _EDGES))
+    if edges.count() <= together:
+        return _named(cut(edges.coalesce(1).mapInArrow(_together, _EDGES)))
     mark = None
     while True:
         edges = cut(_small(cut(_large(edges))))
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark or not new[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return _named(edges)
         mark = new

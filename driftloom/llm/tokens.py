@@ -8,6 +8,7 @@ spacing (runs of spaces, spaces beside line ends, at the start or at the end) ar
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -29,7 +30,7 @@ CACHE = 1 << 19
 #: Text bytes that are encoded at a time; a longer text goes alone.
 STEP = 8 << 20
 #: Chunks that are handed to the library as one text, and characters that it encodes at a time.
-JOINED, ENCODED = 256, 1 << 18
+JOINED, ENCODED = 256, 1 << 16
 
 
 def _flat(encodings: list) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +182,19 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP) -> Iterator[pa.R
         end = max(begin + 1, int(np.searchsorted(size, done + most, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's ``malloc_trim``, or nothing to do where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library have freed, but keep for later, to the system: a worker is one of several that share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def default_tokenizer() -> str:

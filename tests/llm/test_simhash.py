@@ -101,6 +101,15 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(300)} | {1000: 1000, 1001: 1000}
 
 
+def test_components_by_rounds_and_by_one_task_agree(spark):
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 400, (260, 2)).tolist()
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long").repartition(5)
+    one, many = ({r["node"]: r["root"] for r in components(edges, k).collect()} for k in (10**6, 0))
+    assert one == many and len(set(one.values())) > 5
+    assert components(edges.where("a < 0")).count() == 0
+
+
 def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
     docs = table(spark, ODD)
     kept = simhash.keep_one(docs)

@@ -25,3 +25,10 @@ def test_slices_give_what_their_texts_give(kind, begin):
     wanted = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS[begin:]]
     ids, at = encoder.encode(part)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == wanted
+
+
+def test_memory_is_given_back_after_each_slice(monkeypatch):
+    calls = []
+    monkeypatch.setattr(tokens, "_trim", lambda: calls.append)
+    batch = pa.RecordBatch.from_arrays([pa.array(["some text"] * 8)], ["text"])
+    assert sum(x.num_rows for x in tokens.steps(batch, "text", 20)) == 8 and calls == [0] * 4
