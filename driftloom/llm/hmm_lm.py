@@ -37,6 +37,8 @@ PULL = 2.0
 BATCH = 1 << 19
 #: Training tokens that a partition should have, so that its sums are smaller than its texts.
 SHARE = 3_000_000
+#: Words whose sums make one row, and rows' names that one task adds up.
+BLOCK, NAMES = 256, 16
 _LOG = logging.getLogger(__name__)
 
 
@@ -257,33 +259,52 @@ def _batches(ids: pa.ListArray) -> Iterator[tuple[_Laid | None, np.ndarray, np.n
 
 
 def _training(encoded: DataFrame, tokens: int) -> DataFrame:
-    """All training texts in few partitions: each hands on one row a word, which SHARE tokens or more should come to."""
-    parts = min(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-tokens // SHARE))
-    return encoded.where(~F.col("held_out")).select("ids").coalesce(max(1, parts))
+    """All training texts in as many partitions as they have SHARE tokens, whatever the number of cores: each hands on its sums."""
+    return encoded.where(~F.col("held_out")).select("ids").coalesce(max(1, -(-tokens // SHARE)))
+
+
+def _blocks(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(words, states) sums as rows of BLOCK words; a block of zeros is left out."""
+    for i in range(0, len(values), BLOCK):
+        part = values[i : i + BLOCK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.ListArray.from_arrays(pa.array([0, part.size], pa.int32()), pa.array(part.ravel()))], ["block", "sums"])
+
+
+def _added(rows: DataFrame, words: int, states: int) -> np.ndarray:
+    """(words, states): the blocks of all partitions, added up as doubles, block by block on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+                sums[k] = sums.get(k, 0.0) + x.values.to_numpy().astype(np.float64)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], ["block", "sums"])
+
+    met = rows.repartition(-(-words // (BLOCK * NAMES)), "block").mapInArrow(run, "block int, sums array<double>").toArrow()  # words * states numbers
+    out = np.zeros((words, states))
+    for k, x in zip(met.column("block").to_pylist(), met.column("sums"), strict=True):
+        out[k * BLOCK : (k + 1) * BLOCK] = x.values.to_numpy().reshape(-1, states)
+    return out
 
 
 def starting_model(training: DataFrame, plain: np.ndarray, states: int = STATES) -> Model:
     """Each state has the words of the training texts that a hash gives it: all of them, in full."""
-    words, names = len(plain), [f"s{k}" for k in range(states)]
+    words = len(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emitted = np.zeros((states, words), np.int64)
+        emitted = np.zeros((states, words))
         for batch in batches:
             ids = batch.column("ids")
             own = np.repeat(batch.column("own").to_numpy(), np.diff(ids.offsets.to_numpy()))
             seen = ids.flatten().to_numpy()
             for k in range(states):
                 emitted[k] += np.bincount(seen[own == k], minlength=words)
-        kept = np.flatnonzero(emitted.any(axis=0))
-        for i in range(0, len(kept), 1 << 16):
-            part = kept[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(v[part]) for v in emitted)], ["key", *names])
-
-    rows = training.select("ids", F.pmod(F.xxhash64("ids"), F.lit(states)).alias("own")).mapInArrow(run, "key int, " + ", ".join(f"{n} long" for n in names))
-    sums = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most words rows
-    emitted = np.zeros((states, words))
-    if sums.num_rows:
-        emitted[:, sums.column("key").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names])
+        yield from _blocks(emitted.T)
+
+    rows = training.select("ids", F.pmod(F.xxhash64("ids"), F.lit(states)).alias("own")).mapInArrow(run, "block int, sums array<double>")
+    emitted = _added(rows, words, states).T
     stay = np.where(np.eye(states, dtype=bool), 0.97, 0.03 / max(1, states - 1))
     return renew(Model(np.full(states, 1 / states), stay, plain[:, None]), plain, emitted, np.full((states, states), 1e6), np.ones(states))
 
@@ -292,7 +313,6 @@ def baum_welch(training: DataFrame, model: Model, plain: np.ndarray) -> tuple[Mo
     """One round over all training texts: expected counts by partition, added up by word and state; and the log10 likelihood before it."""
     states, words = len(model.start), len(plain)
     sent = training.sparkSession.sparkContext.broadcast(model)
-    names = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitted, moved, started, log = np.zeros((states, words)), np.zeros((states, states)), np.zeros(states), 0.0
@@ -300,18 +320,10 @@ def baum_welch(training: DataFrame, model: Model, plain: np.ndarray) -> tuple[Mo
             for laid, _, seen in _batches(batch.column("ids")):
                 log += expected(sent.value, laid, emitted, moved, started) if laid else expected_long(sent.value, seen, emitted, moved, started)
         # Words first, then one row for each state moved from, then the starts and the likelihood.
-        kept = np.flatnonzero(emitted.any(axis=0))
-        keys = np.concatenate([kept, words + np.arange(states), [words + states, words + states + 1]])
-        values = np.concatenate([emitted[:, kept], moved.T, started[:, None], np.full((states, 1), log)], axis=1).astype(np.float32)
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)], pa.int32()), *(pa.array(v[i : i + (1 << 16)]) for v in values)], ["key", *names])
-
-    rows = training.mapInArrow(run, "key int, " + ", ".join(f"{n} float" for n in names))
-    sums = rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most words + states + 2 rows
+        yield from _blocks(np.concatenate([emitted, moved.T, started[:, None], np.full((states, 1), log)], axis=1).astype(np.float32).T)
+
+    full = _added(training.mapInArrow(run, "block int, sums array<float>"), words + states + 2, states).T
     sent.unpersist()
-    full = np.zeros((states, words + states + 2))
-    if sums.num_rows:
-        full[:, sums.column("key").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names])
     return renew(model, plain, full[:, :words], full[:, words : words + states].T, full[:, -2]), float(full[0, -1])
 
 

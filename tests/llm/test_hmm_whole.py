@@ -38,3 +38,22 @@ def test_long_texts_go_through_whole(monkeypatch):
         blocks = np.zeros((3, 9)), np.zeros((3, 3)), np.zeros(3)
         assert abs(hmm_lm.expected_long(model, seen, *blocks) - log) < 1e-9
         assert all(np.allclose(a, b) for a, b in zip(whole, blocks, strict=True))
+
+
+def test_what_rounds_gather_follows_the_training_texts(spark):
+    frame = spark.range(0, 400, 1, 40).selectExpr("false as held_out", "array(cast(id % 700 as int)) as ids")
+    for parts in (40, 20, 3, 1):
+        assert hmm_lm._training(frame, parts * hmm_lm.SHARE).rdd.getNumPartitions() == parts
+
+
+def test_a_round_adds_up_all_partitions(spark):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 700, rng.integers(1, 40)).tolist() for _ in range(60)]
+    draw = lambda *s: (lambda x: (x / x.sum(axis=-1, keepdims=True)).astype(np.float32))(rng.random(s))
+    model, plain = hmm_lm.Model(draw(3), draw(3, 3), np.ascontiguousarray(draw(3, 700).T)), np.full(700, 1 / 700)
+    n = np.array([len(t) for t in texts])
+    sums = np.zeros((3, 700)), np.zeros((3, 3)), np.zeros(3)
+    log = hmm_lm.expected(model, hmm_lm._Laid(np.concatenate(texts).astype(np.int32), np.cumsum(n) - n, n), *sums)
+    wanted = hmm_lm.renew(model, plain, *sums)
+    got, found = hmm_lm.baum_welch(spark.createDataFrame([(t,) for t in texts], "ids array<int>").repartition(7), model, plain)
+    assert abs(found - log) < 1e-2 and all(np.allclose(getattr(got, k), getattr(wanted, k), atol=1e-5) for k in ("start", "move", "emit"))
